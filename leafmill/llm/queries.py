@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import lines
+from leafmill.llm import leaks, lines, tokens
 from leafmill.session import read
 
 
@@ -17,8 +17,24 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_repeated_lines(read(spark, d, "pdf_pages"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(read(spark, d, "documents"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_spans(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.merged_spans(_leaks(spark, d)).select("doc_id", F.posexplode("spans").alias("n", "span")).select("doc_id", "n", "span.start", "span.stop")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans}
 
 
 _P1 = rf"""
