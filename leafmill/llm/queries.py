@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leaks, lines, tokens
+from leafmill.llm import canonical, leaks, lines, tokens
 from leafmill.session import read
 
 
@@ -17,6 +17,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_repeated_lines(read(spark, d, "pdf_pages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.same_look_pairs(canonical.look_keys(read(spark, d, "pdf_pages")))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonical_text(read(spark, d, "pdf_pages")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents"))
 
@@ -34,7 +42,7 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans}
 
 
 _P1 = rf"""
