@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import canonical, leaks, lines, tokens
+from leafmill.llm import canonical, leaks, lines, spam, tokens
 from leafmill.session import read
 
 
@@ -41,8 +41,12 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.merged_spans(_leaks(spark, d)).select("doc_id", F.posexplode("spans").alias("n", "span")).select("doc_id", "n", "span.start", "span.stop")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(read(spark, d, "documents")).select("doc_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 
 _P1 = rf"""
