@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import canonical, leaks, lines, spam, tokens
+from leafmill.llm import canonical, leaks, lines, pieces, spam, tokens
 from leafmill.session import read
 
 
@@ -17,6 +17,18 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_repeated_lines(read(spark, d, "pdf_pages"))
 
 
+def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    return pieces.request_pieces(read(spark, d, "pdf_pages"), read(spark, d, "run_requests"), read(spark, d, "segmentation_policy"), with_text)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, False).where(F.col("piece") == 1).select("request_id", "page_id")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(canonical.look_keys(read(spark, d, "pdf_pages")))
 
@@ -46,7 +58,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 
 _P1 = rf"""
@@ -66,6 +78,10 @@ hot AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": """
+SELECT DISTINCT r.request_id, p.page_id
+FROM run_requests r JOIN segmentation_policy s ON lower(trim(r.segment_mode)) = lower(trim(s.mode)) JOIN pdf_pages p ON p.document_id = r.document_id
+WHERE s.mode <> 'none' AND length(p.text) > r.target_passage_length * (1 + s.target_drift_fraction)""",
         "p1_found": _P1 + "SELECT page_id, line_no FROM found",
         "p1_clean": _P1
         + """, kept AS (SELECT s.page_id, string_agg(line, chr(10) ORDER BY s.line_no) AS t FROM split s LEFT JOIN found f ON f.page_id = s.page_id AND f.line_no = s.line_no WHERE f.page_id IS NULL GROUP BY s.page_id)
