@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +29,29 @@ def session(name: str = "leafmill", master: str | None = None, **conf: str) -> S
     }
     for k, v in (base | {k.replace("_", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_leafmill_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    # the driver serves this file to executors for as long as the application runs
+    d = tempfile.mkdtemp(prefix="leafmill-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    with zipfile.ZipFile(f"{d}/leafmill.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(z.filename)
+    sc._leafmill_shipped = True
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
