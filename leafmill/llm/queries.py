@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import canonical, leaks, lines, pieces, spam, tokens
+from leafmill.llm import canonical, leaks, lines, pieces, scans, spam, tokens
 from leafmill.session import read
 
 
@@ -17,6 +17,18 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_repeated_lines(read(spark, d, "pdf_pages"))
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return read(spark, d, "pdf_pages"), read(spark, d, "source_files"), read(spark, d, "lexicon")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.findings(*_scans(spark, d)).select("page_id", "line_no", "kind").distinct()
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(*_scans(spark, d))
+
+
 def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     return pieces.request_pieces(read(spark, d, "pdf_pages"), read(spark, d, "run_requests"), read(spark, d, "segmentation_policy"), with_text)
 
@@ -58,7 +70,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 
 
 _P1 = rf"""
