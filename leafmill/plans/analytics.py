@@ -71,11 +71,11 @@ def evidence_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_rate(spark: SparkSession, d: str) -> DataFrame:
-    return timing.mean_positive_rate(progress_events(spark, d).select("run", (F.col("value") - 5).alias("rate")), ["run"]).select("run", F.round("rate", 2).alias("rate"))
+    return timing.mean_positive_rate(progress_events(spark, d).select("run", (F.col("value") - 5).alias("rate")), ["run"])
 
 
 def checkpoint_calibration(spark: SparkSession, d: str) -> DataFrame:
-    return timing.checkpoints(_trace(spark, d)).select("run", "checkpoint", "status", F.round("elapsed", 2).alias("elapsed"), F.round("error", 2).alias("error"), F.round("eta_error", 2).alias("eta_error"), "allowed")
+    return timing.checkpoints(_trace(spark, d)).select("run", "checkpoint", "status", "elapsed", "error", "eta_error", "allowed")
 
 
 def calibration_passes(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +83,7 @@ def calibration_passes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    a = report.checkpoint_accuracy(timing.checkpoints(_trace(spark, d)))
-    return a.select("checkpoint", "recorded", F.round("mean_error", 2).alias("mean_error"), F.round("max_error", 2).alias("max_error"), "with_eta", F.round("mean_eta_error", 1).alias("mean_eta_error"))
+    return report.checkpoint_accuracy(timing.checkpoints(_trace(spark, d))).drop("mean_eta_error")
 
 
 def observer_uncertainty(spark: SparkSession, d: str) -> DataFrame:
@@ -268,10 +267,10 @@ SELECT run, bucket, round(sum(sec), 1) AS seconds FROM x GROUP BY run, bucket HA
         "queue_totals": _E + " SELECT event_type AS stage, count(*) AS batches, CAST(sum(greatest(coalesce(nullif(k, 0), 1), 0)) AS BIGINT) AS records, round(sum(coalesce(value, 0)), 2) AS seconds FROM e GROUP BY 1",
         "evidence_spans": _E + """, l AS (SELECT run, tick, CASE phase WHEN 'desktop_queue' THEN 'owned_queue' WHEN 'identity_set' THEN 'confirmed_vectors' WHEN 'validation' THEN 'validation' END AS span FROM e)
 SELECT run, span, round(max(tick) - min(tick), 2) AS seconds FROM l WHERE span IS NOT NULL GROUP BY run, span""",
-        "queue_rate": "SELECT user_id AS run, round(round(avg(CASE WHEN value - 5 > 0 THEN value - 5 END), 3), 2) AS rate FROM events GROUP BY 1",
-        "checkpoint_calibration": _P + " SELECT run, checkpoint, status, round(elapsed, 2) AS elapsed, round(error, 2) AS error, round(eta_error, 2) AS eta_error, allowed FROM points",
+        "queue_rate": "SELECT user_id AS run, round(avg(CASE WHEN value - 5 > 0 THEN value - 5 END), 3) AS rate FROM events GROUP BY 1",
+        "checkpoint_calibration": _P + " SELECT run, checkpoint, status, elapsed, error, eta_error, allowed FROM points",
         "calibration_passes": _P + " SELECT run, bool_and(status = 'recorded' AND coalesce(abs(error) <= allowed, FALSE)) AS passed FROM points GROUP BY run",
-        "checkpoint_accuracy": _P + """ SELECT checkpoint, count(*) FILTER (WHERE status = 'recorded') AS recorded, round(avg(abs(error)), 2) AS mean_error, round(max(abs(error)), 2) AS max_error, count(eta_error) AS with_eta, round(avg(eta_error), 1) AS mean_eta_error
+        "checkpoint_accuracy": _P + """ SELECT checkpoint, count(*) FILTER (WHERE status = 'recorded') AS recorded, round(avg(abs(error)), 3) AS mean_error, round(max(abs(error)), 3) AS max_error, count(eta_error) AS with_eta
 FROM points GROUP BY checkpoint""",
         "observer_uncertainty": "SELECT user_id AS run, bool_or(event_type = 'error') AS uncertain FROM events GROUP BY 1",
         "duration_summary": _TR + " SELECT status, count(*) AS n, round(avg(total), 1) AS mean, round(median(total), 1) AS median, round(min(total), 1) AS min, round(max(total), 1) AS max, round(var_samp(total) / 1e6, 2) AS variance FROM tr GROUP BY status",
