@@ -261,8 +261,11 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
 
 def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(page_id, line) of running headers among the edge lines."""
-    e = facts.select("page_id", "document_id", "page", F.explode("edges").alias("e")).where((F.col("e.value") < 0) & (F.size("e.segments") == 3))
+    e = facts.select("page_id", "document_id", F.explode("edges").alias("e")).where((F.col("e.value") < 0) & (F.size("e.segments") == 3))
     s = e.select("page_id", "document_id", F.col("e.line").alias("line"), F.col("e.letters").alias("letters"), F.posexplode("e.segments").alias("i", "segment")).where(F.length("segment") >= 5)
+    # 64-bit hashes stand for the segments: they only meet within one document, or as notices
+    place = F.xxhash64("i", "segment").alias("place")
+    s = s.select("page_id", "document_id", "line", "letters", F.length("segment").alias("got"), place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,15 +278,15 @@ def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(i, pa.int32()), pa.array(segment, pa.string())], ["document_id", "i", "segment"])
 
     d = facts.schema["document_id"].dataType.simpleString()
-    titles = files.where(F.length("title") > 0).select("document_id", "title").distinct().mapInArrow(run, f"document_id {d}, i int, segment string").distinct()
-    seen = s.groupBy("document_id", "i", "segment").agg(F.approx_count_distinct("page_id", 0.02).alias("pages"), F.max("page_id").alias("x"), F.min("page_id").alias("y"))
-    seen = seen.where(F.col("x") != F.col("y")).select("document_id", "i", "segment")
+    titles = files.where(F.length("title") > 0).select("document_id", "title").distinct().mapInArrow(run, f"document_id {d}, i int, segment string").select("document_id", place)
+    seen = written(s.groupBy("document_id", "place").agg((F.min("page_id") != F.max("page_id")).alias("again")), "edge-places")
     # what several documents carry is a notice, not one document's header
-    wide = s.groupBy("i", "segment").agg(F.approx_count_distinct("document_id", 0.02).alias("n")).where(F.col("n") >= 3).select("i", "segment")
-    good = seen.join(wide, ["i", "segment"], "left_anti").unionByName(titles).distinct()
-    matched = s.join(good, ["document_id", "i", "segment"]).groupBy("page_id", "line").agg(F.sum(F.length("segment")).alias("got"), F.first("letters").alias("letters"))
+    wide = small(written(seen.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= 3).select("place"), "notice-places"), 24)
+    good = seen.where("again").join(wide, "place", "left_anti").select("document_id", "place").unionByName(titles).distinct()
+    good = small(written(good, "header-places"), 32)
+    matched = s.join(good, ["document_id", "place"]).groupBy("page_id", "line").agg(F.sum("got").alias("got"), F.first("letters").alias("letters"))
     repeated = matched.where(F.col("got") >= 0.5 * F.col("letters")).select("page_id", "line")
-    notice = s.join(wide, ["i", "segment"], "left_semi").select("page_id", "line").distinct()
+    notice = s.join(wide, "place", "left_semi").select("page_id", "line").distinct()
     # outermost, but for a number beside it
     edge = F.least(F.col("e.head"), F.col("e.foot")) <= 2
     lone = e.where(edge & (F.col("e.upper") | F.col("e.titled"))).select("page_id", F.col("e.line").alias("line")).join(notice, ["page_id", "line"], "left_anti")
