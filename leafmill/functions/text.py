@@ -107,7 +107,7 @@ def display_name(c: Column) -> Column:
 
 
 def positive_int(c: Column) -> Column:
-    n = F.try_cast(F.btrim(c), "bigint") if hasattr(F, "try_cast") else F.expr("null")
+    n = F.btrim(c).try_cast("bigint")
     return F.when(n > 0, n)
 
 

@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _r(c: Column) -> Column:
-    return F.round(c, 3)
+#: Digits that statistics are rounded to.
+DIGITS = 3
 
 
-def summary(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+def summary(df: DataFrame, value: str, group: list[str], digits: int = DIGITS) -> DataFrame:
     """Count, mean, median, min, max, sample variance; the variance is null for a single value."""
     v = F.col(value)
-    return df.where(v.isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), _r(F.avg(v)).alias("mean"), _r(F.median(v)).alias("median"), _r(F.min(v)).alias("min"), _r(F.max(v)).alias("max"), _r(F.var_samp(v)).alias("variance"))
+    return df.where(v.isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.median(v), digits).alias("median"), F.round(F.min(v), digits).alias("min"), F.round(F.max(v), digits).alias("max"), F.round(F.var_samp(v), digits).alias("variance"))
 
 
-def quartiles(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+def quartiles(df: DataFrame, value: str, group: list[str], digits: int = DIGITS) -> DataFrame:
     """Inclusive quartiles, null for fewer than two values."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), q.alias("q")).select(*group, F.when(F.col("n") > 1, _r(F.col("q")[0])).alias("q1"), F.when(F.col("n") > 1, _r(F.col("q")[1])).alias("q3"))
+    return df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), q.alias("q")).select(*group, F.when(F.col("n") > 1, F.round(F.col("q")[0], digits)).alias("q1"), F.when(F.col("n") > 1, F.round(F.col("q")[1], digits)).alias("q3"))
 
 
 def outliers(df: DataFrame, value: str, group: list[str]) -> DataFrame:
@@ -37,31 +37,31 @@ def outliers(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     return df.join(b, group, "left").withColumn("outlier", flag).drop("low", "high")
 
 
-def stage_summary(df: DataFrame, stages: list[str], group: list[str]) -> DataFrame:
+def stage_summary(df: DataFrame, stages: list[str], group: list[str], digits: int = DIGITS) -> DataFrame:
     """Mean, median, min and max of each stage column; a missing stage counts as 0."""
     long = df.unpivot(group, stages, "stage", "seconds").select(*group, "stage", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
-    return long.groupBy(*group, "stage").agg(_r(F.avg("seconds")).alias("mean"), _r(F.median("seconds")).alias("median"), _r(F.min("seconds")).alias("min"), _r(F.max("seconds")).alias("max"))
+    return long.groupBy(*group, "stage").agg(F.round(F.avg("seconds"), digits).alias("mean"), F.round(F.median("seconds"), digits).alias("median"), F.round(F.min("seconds"), digits).alias("min"), F.round(F.max("seconds"), digits).alias("max"))
 
 
-def trial_variance(df: DataFrame, document: str, value: str) -> DataFrame:
+def trial_variance(df: DataFrame, document: str, value: str, digits: int = DIGITS) -> DataFrame:
     """Per document count, mean, min, max, variance, and the difference if there are exactly two trials."""
     v = F.col(value)
-    return df.groupBy(document).agg(F.count(v).alias("trials"), _r(F.avg(v)).alias("mean"), _r(F.min(v)).alias("min"), _r(F.max(v)).alias("max"), _r(F.var_samp(v)).alias("variance"), _r(F.when(F.count(v) == 2, F.max(v) - F.min(v))).alias("difference"))
+    return df.groupBy(document).agg(F.count(v).alias("trials"), F.round(F.avg(v), digits).alias("mean"), F.round(F.min(v), digits).alias("min"), F.round(F.max(v), digits).alias("max"), F.round(F.var_samp(v), digits).alias("variance"), F.round(F.when(F.count(v) == 2, F.max(v) - F.min(v)), digits).alias("difference"))
 
 
-def size_groups(df: DataFrame, size: str, value: str) -> DataFrame:
+def size_groups(df: DataFrame, size: str, value: str, digits: int = DIGITS) -> DataFrame:
     """(size_group, n, mean) of small (<= q1), middle and large (>= q3) items; with q1 = q3 a row is in both."""
     q = df.agg(F.percentile(size, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     x = df.select(size, value).join(F.broadcast(q))  # one row
     s = F.col(size)
     names = F.array_compact(F.array(F.when(s <= F.col("q")[0], "lower"), F.when((s > F.col("q")[0]) & (s < F.col("q")[1]), "middle"), F.when(s >= F.col("q")[1], "upper")))
-    return x.select(value, F.explode(names).alias("size_group")).groupBy("size_group").agg(F.count("*").alias("n"), _r(F.avg(value)).alias("mean"))
+    return x.select(value, F.explode(names).alias("size_group")).groupBy("size_group").agg(F.count("*").alias("n"), F.round(F.avg(value), digits).alias("mean"))
 
 
-def checkpoint_accuracy(points: DataFrame) -> DataFrame:
+def checkpoint_accuracy(points: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Per checkpoint: mean absolute progress error of recorded rows and mean ETA error of those that have one."""
     ok = F.col("status") == "recorded"
-    return points.groupBy("checkpoint").agg(F.count_if(ok).alias("recorded"), _r(F.avg(F.when(ok, F.abs("error")))).alias("mean_error"), _r(F.max(F.when(ok, F.abs("error")))).alias("max_error"), F.count("eta_error").alias("with_eta"), _r(F.avg("eta_error")).alias("mean_eta_error"))
+    return points.groupBy("checkpoint").agg(F.count_if(ok).alias("recorded"), F.round(F.avg(F.when(ok, F.abs("error"))), digits).alias("mean_error"), F.round(F.max(F.when(ok, F.abs("error"))), digits).alias("max_error"), F.count("eta_error").alias("with_eta"), F.round(F.avg("eta_error"), digits).alias("mean_eta_error"))
 
 
 def status_rollup(df: DataFrame, group: list[str], status: str, value: str, statuses: list[str]) -> DataFrame:
@@ -70,10 +70,10 @@ def status_rollup(df: DataFrame, group: list[str], status: str, value: str, stat
     return df.groupBy(*group).agg(F.count("*").alias("n"), *counts, F.round(F.sum(value), 2).alias("total"))
 
 
-def cohorts(df: DataFrame, conditions: dict[str, Column], value: str) -> DataFrame:
+def cohorts(df: DataFrame, conditions: dict[str, Column], value: str, digits: int = DIGITS) -> DataFrame:
     """(cohort, n, mean, median): overlapping cohorts in one pass."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
-    return df.select(value, F.explode(names).alias("cohort")).groupBy("cohort").agg(F.count("*").alias("n"), _r(F.avg(value)).alias("mean"), _r(F.median(value)).alias("median"))
+    return df.select(value, F.explode(names).alias("cohort")).groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.median(value), digits).alias("median"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

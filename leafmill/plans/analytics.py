@@ -104,11 +104,11 @@ STAGES = [f"s_{f}{s}" for f in "anr" for s in "fo"]
 
 
 def duration_summary(spark: SparkSession, d: str) -> DataFrame:
-    return report.summary(_trials(spark, d), "total", ["status"]).select("status", "n", *[F.round(c, 1).alias(c) for c in ("mean", "median", "min", "max")], F.round(F.col("variance") / 1e6, 2).alias("variance"))
+    return report.summary(_trials(spark, d), "total", ["status"], 5).withColumn("variance", F.round(F.col("variance") / 1e6, 5))
 
 
 def quartiles(spark: SparkSession, d: str) -> DataFrame:
-    return report.quartiles(_trials(spark, d), "total", ["status"]).select("status", F.round("q1", 1).alias("q1"), F.round("q3", 1).alias("q3"))
+    return report.quartiles(_trials(spark, d), "total", ["status"], 5)
 
 
 def iqr_outliers(spark: SparkSession, d: str) -> DataFrame:
@@ -116,27 +116,24 @@ def iqr_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = report.stage_summary(_trials(spark, d), STAGES, ["status"])
-    return s.select("status", "stage", F.round("mean", 2).alias("mean"), F.round("median", 2).alias("median"), F.round("min", 2).alias("min"), F.round("max", 2).alias("max"))
+    return report.stage_summary(_trials(spark, d), STAGES, ["status"], 5)
 
 
 def trial_variance(spark: SparkSession, d: str) -> DataFrame:
-    t = report.trial_variance(_trials(spark, d), "document", "total")
-    return t.select("document", "trials", *[F.round(c, 1).alias(c) for c in ("mean", "min", "max", "difference")])
+    return report.trial_variance(_trials(spark, d), "document", "total", 5).drop("variance")
 
 
 def page_groups(spark: SparkSession, d: str) -> DataFrame:
-    return report.size_groups(_trials(spark, d).where(F.col("page_count").isNotNull()), "page_count", "total").select("size_group", "n", F.round("mean", 1).alias("mean"))
+    return report.size_groups(_trials(spark, d).where(F.col("page_count").isNotNull()), "page_count", "total", 5)
 
 
 def cohort_quality(spark: SparkSession, d: str) -> DataFrame:
     c = {"operational": F.col("status").isin("F", "O"), "calibration": (F.col("status") == "F") & (F.col("page_count") >= 3), "excluded": ~F.col("status").isin("F", "O")}
-    return report.cohorts(_trials(spark, d), c, "total").select("cohort", "n", F.round("mean", 1).alias("mean"), F.round("median", 1).alias("median"))
+    return report.cohorts(_trials(spark, d), c, "total", 5)
 
 
 def status_rollup(spark: SparkSession, d: str) -> DataFrame:
-    r = report.status_rollup(_trials(spark, d), ["priority"], "status", "total", ["F", "O", "P"])
-    return r.select("priority", "n", "n_f", "n_o", "n_p", F.round(F.col("total") / 1000, 1).alias("total"))
+    return report.status_rollup(_trials(spark, d), ["priority"], "status", "total", ["F", "O", "P"])
 
 
 def missing_expected(spark: SparkSession, d: str) -> DataFrame:
@@ -273,19 +270,19 @@ SELECT run, span, round(max(tick) - min(tick), 2) AS seconds FROM l WHERE span I
         "checkpoint_accuracy": _P + """ SELECT checkpoint, count(*) FILTER (WHERE status = 'recorded') AS recorded, round(avg(abs(error)), 3) AS mean_error, round(max(abs(error)), 3) AS max_error, count(eta_error) AS with_eta
 FROM points GROUP BY checkpoint""",
         "observer_uncertainty": "SELECT user_id AS run, bool_or(event_type = 'error') AS uncertain FROM events GROUP BY 1",
-        "duration_summary": _TR + " SELECT status, count(*) AS n, round(avg(total), 1) AS mean, round(median(total), 1) AS median, round(min(total), 1) AS min, round(max(total), 1) AS max, round(var_samp(total) / 1e6, 2) AS variance FROM tr GROUP BY status",
-        "quartiles": _TR + " SELECT status, round(quantile_cont(total, 0.25), 1) AS q1, round(quantile_cont(total, 0.75), 1) AS q3 FROM tr GROUP BY status",
+        "duration_summary": _TR + " SELECT status, count(*) AS n, round(avg(total), 5) AS mean, round(median(total), 5) AS median, round(min(total), 5) AS min, round(max(total), 5) AS max, round(var_samp(total) / 1e6, 5) AS variance FROM tr GROUP BY status",
+        "quartiles": _TR + " SELECT status, round(quantile_cont(total, 0.25), 5) AS q1, round(quantile_cont(total, 0.75), 5) AS q3 FROM tr GROUP BY status",
         "iqr_outliers": _TR + """, b AS (SELECT status, quantile_cont(total, 0.25) AS a, quantile_cont(total, 0.75) AS z FROM tr WHERE total > 0 GROUP BY status)
 SELECT trial, tr.status, total < a - 1.5 * (z - a) OR total > z + 1.5 * (z - a) AS outlier FROM tr JOIN b ON b.status = tr.status""",
         "stage_summary": _TR + f""", l AS (SELECT status, stage, coalesce(sec, 0) AS s FROM (SELECT status, unnest({STAGES!r}) AS stage, unnest([{", ".join(STAGES)}]) AS sec FROM tr))
-SELECT status, stage, round(avg(s), 2) AS mean, round(median(s), 2) AS median, round(min(s), 2) AS min, round(max(s), 2) AS max FROM l GROUP BY status, stage""",
-        "trial_variance": _TR + " SELECT document, count(total) AS trials, round(avg(total), 1) AS mean, round(min(total), 1) AS min, round(max(total), 1) AS max, CASE WHEN count(total) = 2 THEN round(max(total) - min(total), 1) END AS difference FROM tr GROUP BY document",
+SELECT status, stage, round(avg(s), 5) AS mean, round(median(s), 5) AS median, round(min(s), 5) AS min, round(max(s), 5) AS max FROM l GROUP BY status, stage""",
+        "trial_variance": _TR + " SELECT document, count(total) AS trials, round(avg(total), 5) AS mean, round(min(total), 5) AS min, round(max(total), 5) AS max, CASE WHEN count(total) = 2 THEN round(max(total) - min(total), 5) END AS difference FROM tr GROUP BY document",
         "page_groups": _TR + """, q AS (SELECT quantile_cont(page_count, 0.25) AS a, quantile_cont(page_count, 0.75) AS z FROM tr WHERE page_count IS NOT NULL), x AS (
 SELECT 'lower' AS size_group, total FROM tr, q WHERE page_count <= a UNION ALL SELECT 'middle', total FROM tr, q WHERE page_count > a AND page_count < z UNION ALL SELECT 'upper', total FROM tr, q WHERE page_count >= z)
-SELECT size_group, count(*) AS n, round(avg(total), 1) AS mean FROM x GROUP BY size_group""",
+SELECT size_group, count(*) AS n, round(avg(total), 5) AS mean FROM x GROUP BY size_group""",
         "cohort_quality": _TR + """, x AS (SELECT 'operational' AS cohort, total FROM tr WHERE status IN ('F', 'O') UNION ALL SELECT 'calibration', total FROM tr WHERE status = 'F' AND page_count >= 3 UNION ALL SELECT 'excluded', total FROM tr WHERE status NOT IN ('F', 'O'))
-SELECT cohort, count(*) AS n, round(avg(total), 1) AS mean, round(median(total), 1) AS median FROM x GROUP BY cohort""",
-        "status_rollup": _TR + " SELECT priority, count(*) AS n, count(*) FILTER (WHERE status = 'F') AS n_f, count(*) FILTER (WHERE status = 'O') AS n_o, count(*) FILTER (WHERE status = 'P') AS n_p, round(sum(total) / 1000, 1) AS total FROM tr GROUP BY priority",
+SELECT cohort, count(*) AS n, round(avg(total), 5) AS mean, round(median(total), 5) AS median FROM x GROUP BY cohort""",
+        "status_rollup": _TR + " SELECT priority, count(*) AS n, count(*) FILTER (WHERE status = 'F') AS n_f, count(*) FILTER (WHERE status = 'O') AS n_o, count(*) FILTER (WHERE status = 'P') AS n_p, round(sum(total), 2) AS total FROM tr GROUP BY priority",
         "missing_expected": "SELECT c_custkey AS o_custkey, p.o_orderpriority FROM customer CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p EXCEPT SELECT o_custkey, o_orderpriority FROM orders",
         "trace_union": _E + " SELECT run, seq, CASE WHEN event_type = 'view' THEN 'ui_timer' ELSE 'callback' END AS source, round(tick, 2) AS tick, CASE WHEN event_type = 'view' THEN value END AS visible FROM e",
         "evidence_reconciliation": """WITH k AS (SELECT doc_id AS id FROM documents UNION SELECT document_id FROM pdf_pages UNION SELECT vec_id FROM embeddings),

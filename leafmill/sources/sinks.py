@@ -1,0 +1,84 @@
+"""Writers: extracts, reports, the page cache, run records."""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as X
+
+
+def extract_text(pages: DataFrame, path: str, key: str = "document_id") -> None:
+    """Each document's raw pages under `[PDF_PAGE n]` markers, in page order, a text file per partition of documents."""
+    item = F.struct("page", F.concat(F.lit("\n\n[PDF_PAGE "), F.col("page").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    pages.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(item))["t"], "").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+
+
+def page_report_csv(pages: DataFrame, path: str) -> None:
+    p = pages.withColumn("clean", X.normalize(F.col("text")))
+    columns = ["document_id", F.col("page").alias("pdf_page"), "kind", F.length(F.coalesce("text", F.lit(""))).alias("raw_chars"), F.length("clean").alias("normalized_chars"), X.word_count(F.col("clean")).alias("words_approx"), F.left("clean", F.lit(300)).alias("preview")]
+    p.select(*columns).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
+def rows_csv(df: DataFrame, path: str) -> bool:
+    """Writes a CSV with a header unless there are no rows; tells whether it did."""
+    if df.isEmpty():
+        return False
+    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    return True
+
+
+def cache_pages(pages: DataFrame, path: str) -> None:
+    """Adds page rows to the cache, partitioned by identity; identities written again replace their pages only."""
+    pages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("identity").parquet(path)
+
+
+def latest(log: DataFrame, key: str, at: str) -> DataFrame:
+    """The last state of each key of an append-only log."""
+    rest = [c for c in log.columns if c != key]
+    return log.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(key, "r.*")
+
+
+def replace_json(path: str | Path, value: object, tries: int = 6) -> None:
+    """Replace a small JSON file on the driver in one step; a busy target is tried again a little later."""
+    path = Path(path)
+    temporary = path.with_name(f".{path.name}.{os.getpid()}.tmp")
+    with temporary.open("w", encoding="utf-8") as f:
+        json.dump(value, f, ensure_ascii=False, indent=2)
+        f.flush()
+        os.fsync(f.fileno())
+    for k in range(1, tries + 1):
+        try:
+            os.replace(temporary, path)
+            return
+        except PermissionError:
+            if k == tries:
+                raise
+            time.sleep(0.08 * k)
+
+
+def archive(path: str | Path) -> Path | None:
+    """Move a file aside under the first free attempt number; None if it isn't there."""
+    path = Path(path)
+    if not path.exists():
+        return None
+    taken = {p.name for p in path.parent.glob(f"{path.stem}-attempt-*{path.suffix}")}
+    n = next(n for n in range(1, len(taken) + 2) if f"{path.stem}-attempt-{n}{path.suffix}" not in taken)
+    to = path.with_name(f"{path.stem}-attempt-{n}{path.suffix}")
+    path.rename(to)
+    return to
+
+
+def merge_settings(current: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
+    """Settings after a restore: known values set, keys that weren't there before removed, secrets left as they are.
+
+    `current` has key, value; `snapshot` has key, present, value, secret for the touched `keys`.
+    """
+    touched = snapshot.where(F.col("key").isin(*keys) & ~F.coalesce("secret", F.lit(False)))
+    kept = current.join(touched.select("key"), "key", "left_anti")
+    return kept.unionByName(touched.where("present").select("key", "value"))

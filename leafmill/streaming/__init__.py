@@ -1 +1 @@
-"""leafmill.streaming"""
+"""Structured Streaming forms of the event operators."""
