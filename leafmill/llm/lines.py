@@ -25,9 +25,11 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.upper(line)), rf"[\p{{Nd}}{SPACE}]+", "")
 
 
-def lines(pages: DataFrame) -> DataFrame:
+def lines(pages: DataFrame, count_letters: bool = True) -> DataFrame:
     """(source, document_id, page_id, line_no, line_hash) of each line long enough to matter.
 
+    Without `count_letters` lines of few letters are left in: they match no hash of a line that has enough.
+
     Lines stand between `\\n`, numbered from 1, blank ones included. Only a 64-bit hash of a line's
     key travels: among n lines and m repeated ones about n*m/2^64 lines would be taken for another.
     """
@@ -35,7 +37,9 @@ def lines(pages: DataFrame) -> DataFrame:
         "source", "document_id", "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
     long = numbered.where(F.length("line") >= MIN_LETTERS).withColumn("key", line_key(F.col("line")))
-    long = long.where((F.length("key") >= MIN_LETTERS) & (F.length(F.regexp_replace("key", r"[^\p{L}]+", "")) >= MIN_LETTERS))
+    long = long.where(F.length("key") >= MIN_LETTERS)
+    if count_letters:
+        long = long.where(F.length(F.regexp_replace("key", r"[^\p{L}]+", "")) >= MIN_LETTERS)
     return long.select("source", "document_id", "page_id", (F.col("line_no") + 1).alias("line_no"), F.xxhash64("key").alias("line_hash"))
 
 
@@ -104,7 +108,7 @@ def _threshold(bins: dict[int, int], rate: float) -> float:
 def repeated_lines(pages: DataFrame, **limits) -> DataFrame:
     """(page_id, line_no) of the lines repeated excessively in their source, each once."""
     found = excess_lines(pages, **limits).select("source", "line_hash")
-    f, a = small(found, 64).alias("f"), lines(pages).alias("a")
+    f, a = small(found, 64).alias("f"), lines(pages, count_letters=False).alias("a")
     hit = a.join(f, (F.col("a.line_hash") == F.col("f.line_hash")) & F.col("a.source").eqNullSafe(F.col("f.source")), "left_semi")
     return hit.select("page_id", "line_no").distinct()
 
