@@ -63,19 +63,32 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+    local = tempfile.mkdtemp(prefix="leafmill-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    own = f"file://{local}"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/leafmill-{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove what this application's `written` left in the shared folder, once its results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of `df` with a Parquet table in the shared folder and read it back.
 
     Unlike an executor-local cache it survives lost executors; unlike a serialised checkpoint it is
-    columnar, compressed and prunes columns when it is read.
+    columnar, compressed and prunes columns when it is read. The tables of one application stand in
+    one folder; `drop_written` removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
