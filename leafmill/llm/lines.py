@@ -14,33 +14,34 @@ from pyspark.sql import functions as F
 
 from leafmill.session import small, written
 
-#: White space of any script, as a character class body for Java and RE2.
-SPACE = r"\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space of any script but the line feed, as a character class body for Java and RE2.
+BLANK = r" \t\x0b\f\r\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE, FALSE_DISCOVERY = 20, 3, 0.05, 0.05
 _STEPS, _BINS = 4, 4096
 
 
-def line_key(line: Column) -> Column:
-    """Letter case ignored, digits and white space dropped."""
-    return F.regexp_replace(F.lower(F.upper(line)), rf"[\p{{Nd}}{SPACE}]+", "")
+def line_keys(text: Column) -> Column:
+    """The keys of all lines of a text: letter case ignored, digits and white space dropped.
+
+    The text is folded as a whole, before it is split: one pass of each expression per page.
+    """
+    return F.split(F.regexp_replace(F.lower(F.upper(text)), rf"[\p{{Nd}}{BLANK}]+", ""), "\n", -1)
 
 
 def lines(pages: DataFrame, count_letters: bool = True) -> DataFrame:
     """(source, document_id, page_id, line_no, line_hash) of each line long enough to matter.
 
-    Without `count_letters` lines of few letters are left in: they match no hash of a line that has enough.
-
     Lines stand between `\\n`, numbered from 1, blank ones included. Only a 64-bit hash of a line's
     key travels: among n lines and m repeated ones about n*m/2^64 lines would be taken for another.
+    Without `count_letters` lines of few letters are left in: they match no hash of a line that has
+    enough. The hashes are made inside the array, so that no filter repeats the folding.
     """
-    numbered = pages.where(F.length("text") >= MIN_LETTERS).select(
-        "source", "document_id", "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
-    )
-    long = numbered.where(F.length("line") >= MIN_LETTERS).withColumn("key", line_key(F.col("line")))
-    long = long.where(F.length("key") >= MIN_LETTERS)
+    enough = lambda k: F.length(k) >= MIN_LETTERS
     if count_letters:
-        long = long.where(F.length(F.regexp_replace("key", r"[^\p{L}]+", "")) >= MIN_LETTERS)
-    return long.select("source", "document_id", "page_id", (F.col("line_no") + 1).alias("line_no"), F.xxhash64("key").alias("line_hash"))
+        enough = lambda k: F.length(F.when(F.length(k) >= MIN_LETTERS, F.regexp_replace(k, r"[^\p{L}]+", ""))) >= MIN_LETTERS
+    hashes = F.transform(line_keys(F.col("text")), lambda k: F.when(enough(k), F.xxhash64(k)))
+    numbered = pages.where(F.length("text") >= MIN_LETTERS).select("source", "document_id", "page_id", F.posexplode(hashes).alias("line_no", "line_hash"))
+    return numbered.where(F.col("line_hash").isNotNull()).select("source", "document_id", "page_id", (F.col("line_no") + 1).alias("line_no"), "line_hash")
 
 
 def _gain(k: Column, n: Column, p: Column) -> Column:

@@ -78,7 +78,7 @@ WITH pages AS (SELECT DISTINCT page_id, document_id, source, text FROM pdf_pages
 split AS (
   SELECT page_id, document_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM pages WHERE text IS NOT NULL
 ), keyed AS (
-  SELECT page_id, document_id, source, line_no, regexp_replace(lower(line), '[\p{{Nd}}{lines.SPACE}]+', '', 'g') AS k FROM split
+  SELECT page_id, document_id, source, line_no, regexp_replace(lower(line), '[\p{{Nd}}{lines.BLANK}]+', '', 'g') AS k FROM split
 ), long AS (SELECT * FROM keyed WHERE length(regexp_replace(k, '[^\p{{L}}]+', '', 'g')) >= {lines.MIN_LETTERS}),
 sizes AS (SELECT source, count(DISTINCT document_id) AS n FROM pages GROUP BY source),
 hot AS (
