@@ -38,6 +38,8 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>
 _TO_LATIN = str.maketrans(CYRILLIC[1] + GREEK[1], CYRILLIC[0] + GREEK[0])
 _TO = {"c": str.maketrans(*CYRILLIC), "g": str.maketrans(*GREEK), "l": {}}
 _SHARED = frozenset(CYRILLIC[0] + GREEK[0])
+# Look-alikes that Russian has, by their Latin letter, with the marks that stand on them.
+_RUSSIAN = frozenset("aceopxykmhtb\u0308\u0301\u0306")
 _FOREIGN = re.compile(r"[Ͱ-ԯἀ-῿]")
 _SCRIPT_WORD = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ʯ̀-ͯͰ-ԯḀ-῿]+")
 
@@ -116,6 +118,12 @@ def _in_script(word: str, script: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(_TO_LATIN).translate(_TO[script]))
 
 
+@lru_cache(1 << 17)
+def _context(word: str, last: str) -> str:
+    """The script of a word without a clear letter: Latin if Russian hasn't its letters, else that of its surroundings."""
+    return "l" if last == "c" and not set(unicodedata.normalize("NFD", word).translate(_TO_LATIN).lower()) <= _RUSSIAN else last
+
+
 def _one_script(text: str) -> str:
     words = list(_SCRIPT_WORD.finditer(text))
     clues = [_clue(m[0]) for m in words]
@@ -126,10 +134,11 @@ def _one_script(text: str) -> str:
         word = m[0]
         if last == "l" and word.isascii():
             continue
-        if (new := _in_script(word, last)) != word:
+        if (new := _in_script(word, clue or _context(word, last))) != word:
             out += [text[at : m.start()], new]
             at = m.end()
-    return "".join(out) + text[at:] if at else text
+    # a letter of another script may compose with marks that its look-alike doesn't take
+    return unicodedata.normalize("NFC", "".join(out) + text[at:]) if at else text
 
 
 def canonical(text: str) -> str:
@@ -138,7 +147,8 @@ def canonical(text: str) -> str:
     Invisible characters go; every kind of space becomes U+0020 and every kind of line end `\\n`;
     full-width forms, ligatures and look-alike hyphens take their plain form, accents are composed,
     look-alike letters take the script of the word's unmistakable letters, or else of the nearest
-    clear word before it (at the start: after it), or else Latin. Letter case, accents, digits and
+    clear word before it (at the start: after it; Latin where Russian hasn't the letters), or else
+    Latin. Letter case, accents, digits and
     raised digits stay.
     """
     if text.isascii():

@@ -16,7 +16,7 @@ from leafmill.session import small, written
 
 #: White space of any script but the line feed, as a character class body for Java and RE2.
 BLANK = r" \t\x0b\f\r\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE, FALSE_DISCOVERY = 20, 3, 0.05, 0.05
+MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE, FALSE_DISCOVERY = 20, 3, 0.05, 0.2
 _STEPS, _BINS = 4, 4096
 
 

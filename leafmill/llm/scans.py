@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.session import small, written
@@ -23,7 +23,8 @@ from leafmill.session import small, written
 CONFUSIONS = (
     ("e", "c"), ("o", "0"), ("l", "1"), ("l", "|"), ("i", "1"), ("s", "5"), ("a", "@"), ("t", "f"), ("h", "b"), ("b", "6"), ("b", "8"), ("g", "9"), ("z", "2"),
     ("d", "cl"), ("cl", "d"), ("m", "rn"), ("rn", "m"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("li", "h"),
-    ("ä", "a"), ("ö", "o"), ("ü", "u"), ("ß", "ss"), ("ß", "b"), ("é", "6"),
+    ("d", "c1"), ("d", "c|"), ("n", "r1"), ("u", "1i"), ("u", "i1"), ("m", "r1i"),
+    ("ä", "a"), ("ö", "o"), ("ü", "u"), ("ß", "ss"), ("ß", "b"), ("é", "6"), ("ñ", "n"),
     ("о", "0"), ("и", "н"), ("н", "п"), ("з", "3"),
 )
 #: Confusions in one word at most.
@@ -97,12 +98,15 @@ def printed_number(line: str) -> tuple[int, str] | None:
     return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values)), style + "i"
 
 
+_FOLDED = str.maketrans("cfb680|1i59@2äöüéо3н", "ethhholllsgazaoueoзп")
+
+
 def _fold(words: list[str]) -> str:
     """Letters with every confusion undone towards one side, so that misread copies of a line meet."""
     s = "".join(c for c in "".join(words).lower() if c.isalnum() or c in "@|")
     for a, b in (("ß", "ss"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("li", "h")):
         s = s.replace(a, b)
-    return s.translate(str.maketrans("cfb680|1i59@2äöüéо3н", "ethhholllsgazaoueo3п".replace("3", "з")))
+    return s.translate(_FOLDED)
 
 
 def _segments(line: str) -> list[str]:
@@ -185,11 +189,11 @@ def page_facts(pages: DataFrame, known: frozenset) -> DataFrame:
     ]
     names = ["page_id", "document_id", "page", "edges", "heads", "splits", "suspects", "marks"]
 
-    def built(rows: list, kind: pa.DataType):
-        if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
-            fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
-            return [[{f.name: built(x, f.type) for f, x in zip(fields, r)} for r in of] for of in [rows]][0]
-        return rows
+    def built(rows: list, kind: pa.DataType) -> list:
+        if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+            return rows
+        fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+        return [{f.name: built(x, f.type) for f, x in zip(fields, r)} for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.value
@@ -237,12 +241,9 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
     step = lambda sums: F.flatten(
         F.transform(sums, lambda s: F.transform(F.sequence(s["from"], F.size("can") - 1), lambda i: F.struct((s["sum"] + F.get("can", i)["delta"]).alias("sum"), i.alias("from"))))
     )
-    one = step(F.array(zero))
-    levels = [one]
-    can = can.withColumn("s1", one)
+    can = can.withColumn("s1", step(F.array(zero)))
     for n in range(2, DEPTH + 1):
         can = can.withColumn(f"s{n}", step(F.col(f"s{n - 1}")))
-        levels.append(F.col(f"s{n}"))
     sums = F.array_distinct(F.transform(F.concat(*[F.col(f"s{n}") for n in range(1, DEPTH + 1)]), lambda s: s["sum"]))
     tries = can.select("word", F.explode(sums).alias("delta"), "hash").select("word", (F.col("hash") + F.col("delta")).alias("hash"))
     k = small(known.where(F.col("hash").isNotNull()).select(F.col("word").alias("best"), "listed", "n", "hash"), 96)
@@ -255,7 +256,7 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
 
     schema = "word string, best string, listed int, n long, cost int"
     explained = pairs.mapInArrow(run, schema).where(F.col("cost").between(1, DEPTH))
-    rank = F.struct(-F.col("cost"), F.col("listed"), F.col("n"), F.translate("best", "", ""))
+    rank = F.struct(-F.col("cost"), F.col("listed"), F.col("n"), F.col("best"))
     return explained.groupBy("word").agg(F.max_by("best", rank).alias("best"), F.min("cost").alias("cost"))
 
 
@@ -313,6 +314,11 @@ def _numbers(facts: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def findings(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """What `_needs` finds, without what only the repair has to know."""
+    return _needs(pages, files, lexicon).where(F.col("kind") != "rest")
+
+
+def _needs(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(page_id, line_no, kind, seen, put): what each line of a scanned page needs, and how to mend it.
 
     `header` and `page_number` lines go and carry nothing else. `hyphen`: the division mark goes, `seen`
@@ -320,6 +326,7 @@ def findings(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
     be. `misread`: the word `seen` becomes `put`; a divided word counts where its first wrong letter
     stands. `mark`: isolated strokes go. Pages without text or `ocr_method` give nothing; repeated rows
     of a page count once. `lexicon` is a fixed small table; the words of clean pages are added to it.
+    `rest` tells a page that its first word is the rest of one on the page before.
     """
     listed = lexicon.where(F.length("word") > 0).select(F.lower("word").alias("word")).distinct()
     if (n := listed.count()) > 2_000_000:
@@ -363,6 +370,8 @@ def findings(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
     )
     t = t.withColumn("divides", ~keeps & ((F.col("right") == "") | F.col("right").rlike(r"^[\p{L}@|0-9]")))
     hyphen = t.where("divides").select("page_id", "line", F.lit("hyphen").alias("kind"), F.col("left").alias("seen"), F.col("right").alias("put"))
+    rest = t.where(F.col("divides") & (F.col("right") != "") & (F.col("right_id") != F.col("page_id")))
+    rest = rest.select(F.col("right_id").alias("page_id"), F.col("right_line").alias("line"), F.lit("rest").alias("kind"), F.col("right").alias("seen"), F.lit(None).cast("string").alias("put"))
     seen = F.when(F.col("divides"), F.col("joined")).otherwise(F.col("dashed"))
     best = F.when(F.col("divides"), F.when(weight_joined == 0, F.col("fix_joined"))).otherwise(F.when(weight_dashed == 0, F.col("fix_dashed")))
     t = t.withColumn("seen", seen).withColumn("put", best).where(F.col("put").isNotNull() & (F.col("right") != ""))
@@ -376,6 +385,7 @@ def findings(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
         headers.select("page_id", "line", F.lit("header").alias("kind"), no.alias("seen"), no.alias("put")),
         numbers.join(headers, ["page_id", "line"], "left_anti").select("page_id", "line", F.lit("page_number").alias("kind"), no.alias("seen"), no.alias("put")),
         hyphen,
+        rest,
         divided,
         plain,
         marks.select("page_id", "line", F.lit("mark").alias("kind"), no.alias("seen"), no.alias("put")),
@@ -404,7 +414,9 @@ def _mended(text: str, needs: list[dict]) -> str:
             if not line.strip() and paragraphs[-1] and join is None:
                 paragraphs.append("")
             continue
-        if join is not None:  # the rest of a divided word is already there
+        if words and any(x["kind"] == "rest" and x["seen"] == _token(words[0]) for x in mine):
+            words = words[1:]
+        if join is not None and words:  # the rest of a divided word is already there
             words = [_OUTSIDE.sub("", words[0]) and words[0][len(join) :] if _token(words[0]) == join else words[0], *words[1:]]
             tail = words[0] if words else ""
             paragraphs[-1] += tail if tail and not tail[:1].isalnum() else f" {tail}" if tail else ""
@@ -430,7 +442,7 @@ def repaired(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFram
 
     The rest of a word that the next page begins with is added to the page where the word begins.
     """
-    found = findings(pages, files, lexicon).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind", "seen", "put")).alias("needs"))
+    found = _needs(pages, files, lexicon).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind", "seen", "put")).alias("needs"))
     p = scanned(pages).select("page_id", "text").dropDuplicates(["page_id"]).join(found, "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
