@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import canonical, leaks, lines, pieces, scans, spam, tokens
-from leafmill.session import read
+from leafmill.session import read, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.same_look_pairs(canonical.look_keys(read(spark, d, "pdf_pages")))
+    return canonical.same_look_pairs(written(canonical.look_keys(read(spark, d, "pdf_pages")), "looks"))
 
 
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
