@@ -45,6 +45,7 @@ _NUMBER = re.compile(rf"\s*(?:(?P<word>{PAGE_WORDS})\s*|(?P<open>[-—–\[(|~])
 _DIGITS = str.maketrans("lIO|oSsBZi", "1101055821")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+_STOP = re.compile(r"[.!?;:,](?=\s|$)")
 _ASIDE = re.compile(r"^\s*(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s+(?=\S)|\s+(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s*$")
 
 
@@ -141,7 +142,7 @@ def _facts(text: str, known: frozenset) -> tuple:
         after = words[full[k + 1]][0] if k + 1 < len(full) else ""
         last = bare.split()[-1] if bare.split() else ""
         # a heading-like line: capital at both ends, no stop, and what follows begins anew
-        titled = bool(letters) and bare[:1].isupper() and last[:1].isupper() and last[-1:].isalpha() and (not after or after[:1].isupper() or lines[i + 1 : i + 2] == [""])
+        titled = bool(letters) and not _STOP.search(bare.split(" — ")[-1]) and bare[:1].isupper() and last[:1].isupper() and last[-1:].isalpha() and (not after or after[:1].isupper() or lines[i + 1 : i + 2] == [""])
         edges.append(
             (i + 1, k + 1, len(full) - k, number[0] if number else -1, number[1] if number else "", [] if number else _segments(bare), len(letters), bool(letters) and "".join(letters).isupper() and len(bare.split()) >= 4, titled and len(bare.split()) >= 5)
         )
@@ -286,11 +287,14 @@ def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     good = seen.where("again").join(wide, "place", "left_anti").select("document_id", "place").unionByName(titles).distinct()
     good = small(written(good, "header-places"), 32)
     matched = s.join(good, ["document_id", "place"]).groupBy("page_id", "line").agg(F.sum("got").alias("got"), F.first("letters").alias("letters"))
-    repeated = matched.where(F.col("got") >= 0.5 * F.col("letters")).select("page_id", "line")
+    repeated = written(matched.where(F.col("got") >= 0.5 * F.col("letters")).select("page_id", "line"), "repeated-headers")
     notice = s.join(wide, "place", "left_semi").select("page_id", "line").distinct()
-    # outermost, but for a number beside it
-    edge = F.least(F.col("e.head"), F.col("e.foot")) <= 2
-    lone = e.where(edge & (F.col("e.upper") | F.col("e.titled"))).select("page_id", F.col("e.line").alias("line")).join(notice, ["page_id", "line"], "left_anti")
+    # a header that repeats nowhere (a short chapter): outermost but for a number beside it, on a page
+    # without another, in capitals or shaped like a title
+    rank = F.least(F.col("e.head"), F.col("e.foot"))
+    lone = e.where((rank <= 2) & (F.col("e.upper") | F.col("e.titled"))).select("page_id", F.col("e.line").alias("line"), rank.alias("rank"))
+    lone = lone.join(notice, ["page_id", "line"], "left_anti").join(repeated.select("page_id").distinct(), "page_id", "left_anti")
+    lone = lone.groupBy("page_id").agg(F.min_by("line", F.struct("rank", "line")).alias("line"))
     return repeated.unionByName(lone).distinct()
 
 
