@@ -45,7 +45,7 @@ _NUMBER = re.compile(rf"\s*(?:(?P<word>{PAGE_WORDS})\s*|(?P<open>[-—–\[(|~])
 _DIGITS = str.maketrans("lIO|oSsBZi", "1101055821")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-_STOP = re.compile(r"[.!?;:,](?=\s|$)")
+_STOP = re.compile(r"(?<=\w\w)[.!?;:,](?=\s|$)")
 _ASIDE = re.compile(r"^\s*(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s+(?=\S)|\s+(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s*$")
 
 
