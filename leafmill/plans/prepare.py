@@ -217,13 +217,13 @@ FROM segments WINDOW w AS (PARTITION BY document_id ORDER BY page, piece)""",
 h AS (SELECT unnest({list(heads)!r}) AS heading, unnest(range({len(heads)})) AS rank), pat AS (SELECT heading, rank, '{_q(X.heading_pattern(("@",)))}' AS p FROM h),
 hit AS (SELECT c.document_id, c.page, heading, rank FROM clean c JOIN last l ON l.document_id = c.document_id AND c.page >= l.least JOIN pat ON regexp_matches(clean, replace(p, '@', replace(heading, ' ', '[ ]'))))
 SELECT document_id, page, heading FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, rank) AS k FROM hit) WHERE k = 1""",
-        "page_transitions": f"""WITH {_PAGES}, p AS (SELECT document_id, page, {sql_strip("coalesce(text, '')")} AS t FROM pages),
+        "page_transitions": rf"""WITH {_PAGES}, p AS (SELECT document_id, page, {sql_strip("coalesce(text, '')")} AS t FROM pages),
 f AS (SELECT *, regexp_extract(t, '^(?s:.*[.!?][{X.SPACE}]+)?((?s:.*))$', 1) AS lf, CASE WHEN regexp_matches(t, '[.!?][{X.SPACE}]+') THEN regexp_extract(t, '^((?s:.*?)[.!?])[{X.SPACE}]+', 1) ELSE t END AS rf FROM p),
 x AS (SELECT a.document_id, a.page, length(a.t) AS n, a.lf, b.rf, regexp_matches(a.lf, '[A-Za-z]-$') AND regexp_matches(b.rf, '^[a-z]') AS divided FROM f a JOIN f b ON b.document_id = a.document_id AND b.page = a.page + 1),
 y AS (SELECT *, CASE WHEN lf <> '' AND NOT regexp_matches(lf, '[.!?]["''”’)]?$') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(rf, '^[\p{{Ll}}’”''"]') THEN 2 ELSE 0 END + CASE WHEN divided THEN 3 ELSE 0 END
   - CASE WHEN regexp_matches(rf, '(?i)^(?:chapter|part|notes|references|bibliography|index)(?:$|[^\p{{L}}\p{{N}}_])') THEN 4 ELSE 0 END AS confidence,
   CASE WHEN divided THEN left(lf, length(lf) - 1) || rf ELSE {sql_strip("lf || ' ' || rf")} END AS joined FROM x)
-SELECT document_id, page AS left_page, page + 1 AS right_page, document_id || '-b' || lpad(CAST(page AS VARCHAR), greatest(3, length(CAST(page AS VARCHAR))), '0') || '-' || lpad(CAST(page + 1 AS VARCHAR), greatest(3, length(CAST(page + 1 AS VARCHAR))), '0') || '-tr01' AS boundary_id,
+SELECT document_id, page AS left_page, page + 1 AS right_page, document_id || '-b' || lpad(CAST(page AS VARCHAR), CAST(greatest(3, length(CAST(page AS VARCHAR))) AS INTEGER), '0') || '-' || lpad(CAST(page + 1 AS VARCHAR), CAST(greatest(3, length(CAST(page + 1 AS VARCHAR))) AS INTEGER), '0') || '-tr01' AS boundary_id,
   CAST(greatest(0, n - length(lf)) AS INTEGER) AS left_start, CAST(n AS INTEGER) AS left_stop, CAST(length(rf) AS INTEGER) AS right_stop, confidence, confidence >= 3 AS continues,
   CASE WHEN confidence >= 3 THEN joined ELSE '' END AS sentence, CASE WHEN confidence >= 3 THEN sha256(joined) ELSE '' END AS sentence_hash FROM y""",
         "vector_cache_key": f"""WITH h AS (SELECT doc_id, sha1(unhex('{X.URL_NAMESPACE}') || encode(chunk_source)) AS h FROM documents WHERE chunk_source IS NOT NULL)
