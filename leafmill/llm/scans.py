@@ -421,8 +421,7 @@ def _mended(text: str, needs: list[dict]) -> str:
         if words and any(x["kind"] == "rest" and x["seen"] == _token(words[0]) for x in mine):
             words = words[1:]
         if join is not None and words:  # the rest of a divided word is already there
-            words = [_OUTSIDE.sub("", words[0]) and words[0][len(join) :] if _token(words[0]) == join else words[0], *words[1:]]
-            tail = words[0] if words else ""
+            tail = words[0][len(join) :] if _token(words[0]) == join else words[0]
             paragraphs[-1] += tail if tail and not tail[:1].isalnum() else f" {tail}" if tail else ""
             words, join = words[1:], None
         words = [w.replace(_OUTSIDE.sub("", w), _cased(_OUTSIDE.sub("", w), fixes[t])) if (t := _token(w)) in fixes else w for w in words]
