@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +36,10 @@ STROKES = frozenset(["|", "_", "`", "'", "')", "`)", "(", ")", "~", "^", "\\"])
 # Words before a printed page number.
 PAGE_WORDS = "page|seite|página|pagina|страница|стр\\.|ページ|p\\.|s\\."
 
+#: An edge line is a notice, not a header, if this many documents and this share of its source's scanned documents carry it;
+#: one that repeats in its own document only if that share is ALMOST_ALL: no source gives most of its documents one chapter.
+NOTICE_DOCUMENTS, NOTICE_SHARE, ALMOST_ALL = 3, 0.05, 0.5
+
 _EDGE, _NEXT = 3, 3
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ]+(?:[-'’][A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ]+)*")
 _OUTSIDE = re.compile(r"^[^\w@|]+|[^\w@|]+$")
@@ -166,7 +170,7 @@ def _facts(text: str, known: frozenset) -> tuple:
 
 
 _FACTS = (
-    "page_id {p}, document_id {d}, page int, edges array<struct<line:int,head:int,foot:int,value:int,style:string,segments:array<string>,letters:int,upper:boolean,titled:boolean>>, "
+    "page_id {p}, document_id {d}, page int, source long, edges array<struct<line:int,head:int,foot:int,value:int,style:string,segments:array<string>,letters:int,upper:boolean,titled:boolean>>, "
     "heads array<struct<line:int,word:string,upper:boolean>>, splits array<struct<line:int,left:string,mark:string,upper:boolean,ahead:array<struct<line:int,word:string,upper:boolean>>>>, "
     "suspects array<struct<line:int,first:boolean,word:string>>, marks array<int>"
 )
@@ -188,7 +192,7 @@ def page_facts(pages: DataFrame, known: frozenset) -> DataFrame:
         pa.list_(pa.struct([("line", pa.int32()), ("first", pa.bool_()), ("word", pa.string())])),
         pa.list_(pa.int32()),
     ]
-    names = ["page_id", "document_id", "page", "edges", "heads", "splits", "suspects", "marks"]
+    names = ["page_id", "document_id", "page", "source", "edges", "heads", "splits", "suspects", "marks"]
 
     def built(rows: list, kind: pa.DataType) -> list:
         if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
@@ -201,9 +205,10 @@ def page_facts(pages: DataFrame, known: frozenset) -> DataFrame:
         for b in batches:
             facts = [_facts(t, words) for t in b.column("text").to_pylist()]
             cols = [pa.array([built(f[i], k) for f in facts], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.int32()), *cols], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.int32()), b.column(3), *cols], names)
 
-    return scanned(pages).select("page_id", "document_id", "page", "text").mapInArrow(run, schema).dropDuplicates(["page_id"])
+    source = F.xxhash64("source") if "source" in pages.columns else F.lit(0).cast("long")
+    return scanned(pages).select("page_id", "document_id", "page", source.alias("source"), "text").mapInArrow(run, schema).dropDuplicates(["page_id"])
 
 
 def known_words(pages: DataFrame, lexicon: DataFrame, least: int = 2) -> DataFrame:
@@ -261,13 +266,29 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
     return explained.groupBy("word").agg(F.max_by("best", rank).alias("best"), F.min("cost").alias("cost"))
 
 
+def _notices(facts: DataFrame, edges: DataFrame, places: DataFrame, weight: Callable[[Column], Column]) -> DataFrame:
+    """(page_id, line, broad): edge lines that a share of their source's scanned documents carry, `broad` if almost all do.
+
+    Whole lines are counted; a line is then known as one, misread or not, by half of its letters.
+    """
+    whole = F.xxhash64(F.array_join("e.segments", " ")).alias("whole")
+    sizes = facts.select("source", "document_id").distinct().groupBy("source").agg(F.count("*").alias("size"))
+    shared = edges.select("source", whole, "document_id").distinct().groupBy("source", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= NOTICE_DOCUMENTS)
+    shared = shared.join(small(written(sizes, "scanned-documents"), 24), "source").select("source", "whole", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= NOTICE_SHARE)
+    shared = small(written(shared, "shared-lines"), 32)
+    x = edges.select("source", whole, F.col("e.segments").alias("segments")).join(shared, ["source", "whole"]).groupBy("source", "whole").agg(F.first("segments").alias("segments"), F.first("share").alias("share"))
+    x = x.select("source", "share", F.posexplode("segments").alias("i", "segment")).groupBy("source", F.xxhash64("i", "segment").alias("place")).agg(F.max("share").alias("share"))
+    hit = places.join(small(written(x, "notice-places"), 32), ["source", "place"]).groupBy("page_id", "line")
+    return hit.agg(weight(F.lit(True)).alias("notice"), weight(F.col("share") >= ALMOST_ALL).alias("broad")).where("notice").select("page_id", "line", "broad")
+
+
 def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(page_id, line) of running headers among the edge lines."""
-    e = facts.select("page_id", "document_id", F.explode("edges").alias("e")).where((F.col("e.value") < 0) & (F.size("e.segments") == 3))
-    s = e.select("page_id", "document_id", F.col("e.line").alias("line"), F.col("e.letters").alias("letters"), F.posexplode("e.segments").alias("i", "segment")).where(F.length("segment") >= 5)
+    e = facts.select("page_id", "document_id", "source", F.explode("edges").alias("e")).where((F.col("e.value") < 0) & (F.size("e.segments") == 3))
+    s = e.select("page_id", "document_id", "source", F.col("e.line").alias("line"), F.col("e.letters").alias("letters"), F.posexplode("e.segments").alias("i", "segment")).where(F.length("segment") >= 5)
     # 64-bit hashes stand for the segments: they only meet within one document, or as notices
     place = F.xxhash64("i", "segment").alias("place")
-    s = s.select("page_id", "document_id", "line", "letters", F.length("segment").alias("got"), place)
+    s = s.select("page_id", "document_id", "source", "line", "letters", F.length("segment").alias("got"), place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,18 +303,19 @@ def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     d = facts.schema["document_id"].dataType.simpleString()
     titles = files.where(F.length("title") > 0).select("document_id", "title").distinct().mapInArrow(run, f"document_id {d}, i int, segment string").select("document_id", place)
     seen = written(s.groupBy("document_id", "place").agg((F.min("page_id") != F.max("page_id")).alias("again")), "edge-places")
-    # what several documents carry is a notice, not one document's header
-    wide = small(written(seen.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= 3).select("place"), "notice-places"), 24)
-    good = seen.where("again").join(wide, "place", "left_anti").select("document_id", "place").unionByName(titles).distinct()
-    good = small(written(good, "header-places"), 32)
-    matched = s.join(good, ["document_id", "place"]).groupBy("page_id", "line").agg(F.sum("got").alias("got"), F.first("letters").alias("letters"))
-    repeated = written(matched.where(F.col("got") >= 0.5 * F.col("letters")).select("page_id", "line"), "repeated-headers")
-    notice = s.join(wide, "place", "left_semi").select("page_id", "line").distinct()
+    good = seen.where("again").select("document_id", "place", F.lit(False).alias("own")).unionByName(titles.select("document_id", "place", F.lit(True).alias("own")))
+    good = small(written(good.groupBy("document_id", "place").agg(F.max("own").alias("own")), "header-places"), 40)
+    weight = lambda of: F.sum(F.when(of, F.col("got")).otherwise(0)) >= 0.5 * F.first("letters")
+    matched = s.join(good, ["document_id", "place"]).groupBy("page_id", "line").agg(weight(F.lit(True)).alias("repeats"), weight(F.col("own")).alias("own"))
+    notice = written(_notices(facts, e, s, weight), "notice-lines")
+    broad = notice.where("broad").select("page_id", "line", F.lit(True).alias("broad"))
+    repeated = matched.where("repeats").join(broad, ["page_id", "line"], "left").where(F.col("own") | F.col("broad").isNull())
+    repeated = written(repeated.select("page_id", "line"), "repeated-headers")
     # a header that repeats nowhere (a short chapter): outermost but for a number beside it, on a page
     # without another, in capitals or shaped like a title
     rank = F.least(F.col("e.head"), F.col("e.foot"))
     lone = e.where((rank <= 2) & (F.col("e.upper") | F.col("e.titled"))).select("page_id", F.col("e.line").alias("line"), rank.alias("rank"))
-    lone = lone.join(notice, ["page_id", "line"], "left_anti").join(repeated.select("page_id").distinct(), "page_id", "left_anti")
+    lone = lone.join(notice.select("page_id", "line"), ["page_id", "line"], "left_anti").join(repeated.select("page_id").distinct(), "page_id", "left_anti")
     lone = lone.groupBy("page_id").agg(F.min_by("line", F.struct("rank", "line")).alias("line"))
     return repeated.unionByName(lone).distinct()
 
