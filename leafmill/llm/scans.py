@@ -40,6 +40,9 @@ PAGE_WORDS = "page|seite|página|pagina|страница|стр\\.|ページ|p\\
 #: one that repeats in its own document only if that share is ALMOST_ALL: no source gives most of its documents one chapter.
 NOTICE_DOCUMENTS, NOTICE_SHARE, ALMOST_ALL = 3, 0.05, 0.5
 
+#: Letters of a third of a line, and of a short line as a whole, that tell something by themselves.
+MIN_THIRD, MIN_WHOLE = 5, 2
+
 _EDGE, _NEXT = 3, 3
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ]+(?:[-'’][A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ]+)*")
 _OUTSIDE = re.compile(r"^[^\w@|]+|[^\w@|]+$")
@@ -50,6 +53,7 @@ _DIGITS = str.maketrans("lIO|oSsBZi", "1101055821")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _STOP = re.compile(r"(?<=\w\w)[.!?;:,](?=\s|$)")
+_ASIAN_STOP = re.compile(r"[。！？、，；：]$")
 _ASIDE = re.compile(r"^\s*(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s+(?=\S)|\s+(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s*$")
 
 
@@ -114,14 +118,18 @@ def _fold(words: list[str]) -> str:
     return s.translate(_FOLDED)
 
 
-def _segments(line: str) -> list[str]:
-    """Three stretches of a possible header, folded; author and number left out."""
+def _segments(line: str, head: bool = True, foot: bool = True) -> list[str]:
+    """Five stretches of a possible header, folded; author and number left out; empty ones don't exist.
+
+    Its thirds, and the line as a whole at the head and at the foot of a page if a third is too short
+    to tell something (a line of one or two words, or in a script without spaces, has no thirds).
+    """
     w = line.split(" — ")[-1].split()
     n = len(w)
-    if n < 3:
-        return [_fold(w)]
     a, b = -(-n // 3), -(-2 * n // 3)
-    return [_fold(w[:a]), _fold(w[a:b]), _fold(w[b:])]
+    thirds = [_fold(w[:a]), _fold(w[a:b]), _fold(w[b:])] if n >= 3 else [""] * 3
+    whole = "" if min(map(len, thirds)) >= MIN_THIRD else _fold(w)
+    return [*thirds, whole if head else "", whole if foot else ""]
 
 
 def _token(w: str) -> str:
@@ -147,8 +155,12 @@ def _facts(text: str, known: frozenset) -> tuple:
         last = bare.split()[-1] if bare.split() else ""
         # a heading-like line: capital at both ends, no stop, and what follows begins anew
         titled = bool(letters) and not _STOP.search(bare.split(" — ")[-1]) and bare[:1].isupper() and last[:1].isupper() and last[-1:].isalpha() and (not after or after[:1].isupper() or lines[i + 1 : i + 2] == [""])
+        # a short line counts as a whole where a header stands: outermost but for a number, and no end of a sentence
+        short = k < 2 and k < len(full) - k, len(full) - k <= 2 and len(full) - k <= k
+        if _STOP.search(bare.split(" — ")[-1]) or _ASIAN_STOP.search(bare) or len(letters) < MIN_WHOLE:
+            short = False, False
         edges.append(
-            (i + 1, k + 1, len(full) - k, number[0] if number else -1, number[1] if number else "", [] if number else _segments(bare), len(letters), bool(letters) and "".join(letters).isupper() and len(bare.split()) >= 4, titled and len(bare.split()) >= 5)
+            (i + 1, k + 1, len(full) - k, number[0] if number else -1, number[1] if number else "", [] if number else _segments(bare, *short), len(letters), bool(letters) and "".join(letters).isupper() and len(bare.split()) >= 4, titled and len(bare.split()) >= 5)
         )
     heads = [(i + 1, firsts[i], raw[i][:1].isupper()) for i in full[: _EDGE + 1]]
     splits, suspects, marks = [], [], []
@@ -266,29 +278,44 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
     return explained.groupBy("word").agg(F.max_by("best", rank).alias("best"), F.min("cost").alias("cost"))
 
 
+def _has_thirds(segments: str) -> Column:
+    return F.array_join(F.slice(segments, 1, 3), "") != ""
+
+
+def _telling() -> Column:
+    return F.length("segment") >= F.when(F.col("i") < 3, MIN_THIRD).otherwise(MIN_WHOLE)
+
+
+def _ends(i: str) -> Column:
+    """Both ends for a whole line."""
+    return F.when(F.col(i) < 3, F.array(i)).otherwise(F.array(F.lit(3), F.lit(4)))
+
+
 def _notices(facts: DataFrame, edges: DataFrame, places: DataFrame, weight: Callable[[Column], Column]) -> DataFrame:
     """(page_id, line, broad): edge lines that a share of their source's scanned documents carry, `broad` if almost all do.
 
     Whole lines are counted; a line is then known as one, misread or not, by half of its letters.
     """
-    whole = F.xxhash64(F.array_join("e.segments", " ")).alias("whole")
+    # where a short line stands is no matter here
+    whole = F.array_join(F.when(_has_thirds("e.segments"), F.slice("e.segments", 1, 3)).otherwise(F.col("e.segments")), "")
+    whole = F.xxhash64(whole).alias("whole")
     sizes = facts.select("source", "document_id").distinct().groupBy("source").agg(F.count("*").alias("size"))
     shared = edges.select("source", whole, "document_id").distinct().groupBy("source", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= NOTICE_DOCUMENTS)
     shared = shared.join(small(written(sizes, "scanned-documents"), 24), "source").select("source", "whole", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= NOTICE_SHARE)
     shared = small(written(shared, "shared-lines"), 32)
     x = edges.select("source", whole, F.col("e.segments").alias("segments")).join(shared, ["source", "whole"]).groupBy("source", "whole").agg(F.first("segments").alias("segments"), F.first("share").alias("share"))
-    x = x.select("source", "share", F.posexplode("segments").alias("i", "segment")).groupBy("source", F.xxhash64("i", "segment").alias("place")).agg(F.max("share").alias("share"))
+    x = x.select("source", "share", F.posexplode("segments").alias("i", "segment")).where(_telling()).select("source", "share", F.explode(_ends("i")).alias("i"), "segment").groupBy("source", F.xxhash64("i", "segment").alias("place")).agg(F.max("share").alias("share"))
     hit = places.join(small(written(x, "notice-places"), 32), ["source", "place"]).groupBy("page_id", "line")
     return hit.agg(weight(F.lit(True)).alias("notice"), weight(F.col("share") >= ALMOST_ALL).alias("broad")).where("notice").select("page_id", "line", "broad")
 
 
 def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(page_id, line) of running headers among the edge lines."""
-    e = facts.select("page_id", "document_id", "source", F.explode("edges").alias("e")).where((F.col("e.value") < 0) & (F.size("e.segments") == 3))
-    s = e.select("page_id", "document_id", "source", F.col("e.line").alias("line"), F.col("e.letters").alias("letters"), F.posexplode("e.segments").alias("i", "segment")).where(F.length("segment") >= 5)
+    e = facts.select("page_id", "document_id", "source", F.explode("edges").alias("e")).where((F.col("e.value") < 0) & (F.array_join("e.segments", "") != ""))
+    s = e.select("page_id", "document_id", "source", F.col("e.line").alias("line"), F.col("e.letters").alias("letters"), F.posexplode("e.segments").alias("i", "segment")).where(_telling())
     # 64-bit hashes stand for the segments: they only meet within one document, or as notices
     place = F.xxhash64("i", "segment").alias("place")
-    s = s.select("page_id", "document_id", "source", "line", "letters", F.length("segment").alias("got"), place)
+    s = s.select("page_id", "document_id", "source", "line", "letters", F.when(F.col("i") < 3, F.length("segment")).otherwise(F.col("letters")).alias("got"), place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,7 +328,8 @@ def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(i, pa.int32()), pa.array(segment, pa.string())], ["document_id", "i", "segment"])
 
     d = facts.schema["document_id"].dataType.simpleString()
-    titles = files.where(F.length("title") > 0).select("document_id", "title").distinct().mapInArrow(run, f"document_id {d}, i int, segment string").select("document_id", place)
+    names = F.explode(F.array(*[c for c in ("title", "author") if c in files.columns])).alias("title")
+    titles = files.select("document_id", names).where(F.length("title") > 0).distinct().mapInArrow(run, f"document_id {d}, i int, segment string").where(_telling()).select("document_id", place)
     seen = written(s.groupBy("document_id", "place").agg((F.min("page_id") != F.max("page_id")).alias("again")), "edge-places")
     good = seen.where("again").select("document_id", "place", F.lit(False).alias("own")).unionByName(titles.select("document_id", "place", F.lit(True).alias("own")))
     good = small(written(good.groupBy("document_id", "place").agg(F.max("own").alias("own")), "header-places"), 40)
@@ -314,7 +342,7 @@ def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     # a header that repeats nowhere (a short chapter): outermost but for a number beside it, on a page
     # without another, in capitals or shaped like a title
     rank = F.least(F.col("e.head"), F.col("e.foot"))
-    lone = e.where((rank <= 2) & (F.col("e.upper") | F.col("e.titled"))).select("page_id", F.col("e.line").alias("line"), rank.alias("rank"))
+    lone = e.where(_has_thirds("e.segments") & (rank <= 2) & (F.col("e.upper") | F.col("e.titled"))).select("page_id", F.col("e.line").alias("line"), rank.alias("rank"))
     lone = lone.join(notice.select("page_id", "line"), ["page_id", "line"], "left_anti").join(repeated.select("page_id").distinct(), "page_id", "left_anti")
     lone = lone.groupBy("page_id").agg(F.min_by("line", F.struct("rank", "line")).alias("line"))
     return repeated.unionByName(lone).distinct()

@@ -46,3 +46,17 @@ def test_notices_by_share_of_the_source(header):
     at += [(100 + d, "b", p, notice if d < 3 else None, None) for d in range(100) for p in (1, 2)]
     got = header(at)
     assert got == {(1000 * (100 + d) + p, 1) for d in range(3) for p in (1, 2)}
+
+
+def test_short_headers(header):
+    at = [(1, "a", p, "Mary Smith" if p % 2 else "Early maps 1" + str(p), None) for p in range(1, 5)]
+    at += [(2, "a", p, None, "The Old Man") for p in (1, 2)]
+    at += [(3, "a", p, "序章", None) for p in (1, 2)]
+    at += [(4, "a", 1, "J. Kelurmond", None), (5, "a", 1, "Atlas", None), (6, "a", 1, "On a map", None)]
+    # ends of sentences, a word at different ends, other documents' names and short lines on one page
+    at += [(7, "a", p, None, "Register.") for p in (1, 2)] + [(8, "a", p, None, "終わる。") for p in (1, 2)]
+    at += [(9, "a", 1, "Register", None), (9, "a", 2, None, "Register"), (10, "a", 1, "Atlas", None)]
+    at += [(d, "a", 1, None, None) for d in range(20, 50)]
+    files = [(4, "Some Title Of Northern Words", "J. Kelurmond"), (5, "Atlas", None), (6, "On a Map", None), (7, None, "Mary Smith")]
+    got = header(at, files, author=True)
+    assert got == {(1001, 1), (1002, 1), (1003, 1), (1004, 1), (2001, 8), (2002, 8), (3001, 1), (3002, 1), (4001, 1), (5001, 1), (6001, 1)}
