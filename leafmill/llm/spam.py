@@ -1,8 +1,8 @@
 """Keyword-stuffed pages, link lists and tag lists (problem 8).
 
 Function words are learned per language from all documents; then every text is measured once, in
-stretches of lines: share of function words, share of the few words the text keeps repeating, link
-share, table and settings syntax. Thresholds on these are calibrated per language over all documents.
+stretches of lines: share of function words, share of the few words the text keeps repeating, share
+of its repeated word n-grams and lines, link share, table and settings syntax. Thresholds on these are calibrated per language over all documents.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ SEPARATED = 0.15
 TOP_WORDS, TOP_COUNT, WINDOW = 6, 3, 40
 #: Languages with fewer documents have no function words of their own.
 MIN_DOCUMENTS = 20
-_FS_BINS, _TOP_BINS = 40, 20
+#: Words in a row that stand this often in a text are repeated, and so is a line.
+GRAM, GRAM_COUNT = 4, 3
+_FS_BINS, _TOP_BINS, _REP_BINS = 40, 20, 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ASIAN = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -42,6 +44,7 @@ _LINK = re.compile(r"<a [^>]*>[^<]*</a>|\[[^\]]*\]\([^)]*\)|(?:https?://|www\.)[
 _CODE = re.compile(r"`[^`]*`")
 _SEPARATORS = frozenset("·•»›>|/⁄～~*◦")
 _PAIR = re.compile(r'"\s*:')
+_STAMPED = re.compile(r"[\[(]?(?:\d{4}-\d\d-\d\d|\d{1,2}:\d\d:\d\d)")  # a log repeats itself
 _SETTING = re.compile(r'[\s\[\]{}(),"\d.:+-]*$|\s*[\w.-]+\s*[=:]\s*\S{1,40}\s*$')
 
 
@@ -68,6 +71,26 @@ def _is_tags(chunks: list[str]) -> bool:
     return marks >= SEPARATED * len(chunks) or sum(c[0] == "#" and len(c) > 1 for c in chunks) > len(chunks) / 2
 
 
+def _repeated(stretches: list[tuple[list[str], int, str]]) -> list[float]:
+    """The share of each stretch's words that repeated n-grams of the text cover; 1 for a repeated line, 0 for one with a time stamp."""
+    lines = Counter(line for *_, line in stretches)
+    texts = [[] if _STAMPED.match(line) else w for w, _, line in stretches]
+    flat = [x for w in texts for x in w]
+    grams = list(zip(*(flat[i:] for i in range(GRAM))))
+    often = {g for g, n in Counter(grams).items() if n >= GRAM_COUNT}
+    covered = bytearray(len(flat))
+    if often:
+        for i, g in enumerate(grams):
+            if g in often:
+                covered[i : i + GRAM] = b"\1" * GRAM
+    out, at = [], 0
+    for w, (_, _, line) in zip(texts, stretches):
+        share = sum(covered[at : at + len(w)]) / len(w) if w else 0.0
+        out.append(1.0 if w and lines[line] >= GRAM_COUNT else share)
+        at += len(w)
+    return out
+
+
 def word_spread(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, word, n_documents) over all documents; word '' counts the documents themselves.
 
@@ -113,22 +136,22 @@ def function_words(documents: DataFrame, text: str = "text", lang: str = "lang",
 
 
 def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, n_chars, fs, top, n_links, link_chars, chars, cells): one row per text of at least MIN_CHARS code points.
+    """(key, lang, fs, top, rep, n_links, link_chars, chars, cells): one row per text of at least MIN_CHARS code points.
 
     `lang` is the language whose function words the text has most of (the row's own on a draw), `fs`
-    their share, `top` the share of its six most repeated other words. `cells` counts the characters of
-    stretches by their own two shares, in bins; tag lists stand in the lowest bin, links, settings and
-    table lines are kept out of it.
+    their share, `top` the share of its six most repeated other words, `rep` that of the words in its
+    repeated n-grams and lines. `cells` counts the characters of stretches by their own three shares, in
+    bins; tag lists stand in the highest bin of repetition, links, settings and table lines are kept out of it.
     """
     schema = T.StructType(
         [
             T.StructField("key", documents.schema[key].dataType),
-            *[T.StructField(n, t) for n, t in (("lang", T.StringType()), ("fs", T.DoubleType()), ("top", T.DoubleType()))],
+            *[T.StructField(n, t) for n, t in (("lang", T.StringType()), ("fs", T.DoubleType()), ("top", T.DoubleType()), ("rep", T.DoubleType()))],
             *[T.StructField(n, T.LongType()) for n in ("n_links", "link_chars", "chars")],
             T.StructField("cells", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
-    kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))]
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))]
     order = sorted(words)
 
     def measured(own: str | None, t: str) -> tuple:
@@ -155,12 +178,12 @@ def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str =
                 continue
             w = _words(line)
             if len(w) > 1.5 * WINDOW:
-                parts = [w[i : i + WINDOW] for i in range(0, len(w), WINDOW)]
-                stretches += [(x, n * len(x) // len(w)) for x in parts]
+                parts = [(w[i : i + WINDOW], f"{line}\n{i}") for i in range(0, len(w), WINDOW)]
+                stretches += [(x, n * len(x) // len(w), part) for x, part in parts]
             else:
-                stretches.append((w, n))
+                stretches.append((w, n, line))
         counts: Counter = Counter()
-        for w, _ in stretches:
+        for w, *_ in stretches:
             counts.update(w)
         tokens = sum(counts.values())
         found = {x: sum(counts[w] for w in words[x]) for x in order}
@@ -174,14 +197,16 @@ def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str =
             head = set(sorted(head, key=lambda w: (-rest[w], w))[:TOP_WORDS])
         cells: Counter = Counter()
         if tags:
-            cells[0, 0] += tags
-        for w, n in stretches:
+            cells[0, 0, _REP_BINS] += tags
+        repeats = _repeated(stretches)
+        for (w, n, _), r in zip(stretches, repeats):
             f = sum(map(function.__contains__, w))
             other = len(w) - f
             h = sum(map(head.__contains__, w)) if head else 0
-            cells[int(_FS_BINS * f / len(w)) if w else 0, int(_TOP_BINS * h / other) if other else 0] += n
+            cells[int(_FS_BINS * f / len(w)) if w else 0, int(_TOP_BINS * h / other) if other else 0, int(_REP_BINS * r)] += n
         share = sum(repeated) / max(1, sum(rest.values()))
-        return best, found.get(best, 0) / max(1, tokens), share, links, link_chars, total, [[*k, v] for k, v in cells.items()]
+        rep = sum(len(w) * r for (w, *_), r in zip(stretches, repeats)) / max(1, tokens)
+        return best, found.get(best, 0) / max(1, tokens), share, rep, links, link_chars, total, [[*k, v] for k, v in cells.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,18 +223,18 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", la
 
     A stretch of a text counts if it is mostly links (in texts with MIN_LINKS links or more), if its
     function words are less than LACKING of the language's median, or if its share of the text's most
-    repeated words exceeds REPEATING times the language's median, or if it is a list of tags. Lines of
+    repeated words or of its repeated n-grams exceeds REPEATING times the language's median, or if it is a list of tags. Lines of
     tables, settings and JSON don't count. Null, empty and short texts are no cases; wrong or null
     languages don't matter, as the language is found from the function words. Rows with the same key
     are judged each for itself and reported once.
     """
     words = function_words(documents, text, lang)
     m = written(measures(documents, words, key, text, lang), "spam-measures")
-    medians = m.groupBy("lang").agg(F.percentile_approx("fs", 0.5, 1000).alias("fs50"), F.percentile_approx("top", 0.5, 1000).alias("top50"))
+    medians = m.groupBy("lang").agg(F.percentile_approx("fs", 0.5, 1000).alias("fs50"), F.percentile_approx("top", 0.5, 1000).alias("top50"), F.percentile_approx("rep", 0.5, 1000).alias("rep50"))
     x = m.alias("m").join(F.broadcast(medians).alias("l") if len(words) < 10_000 else medians.alias("l"), F.col("m.lang").eqNullSafe(F.col("l.lang")))
     least = F.lit(LACKING) * F.col("fs50") * _FS_BINS
-    most = F.least(F.greatest(F.lit(REPEATING) * F.col("top50"), F.lit(REPEATING_RANGE[0])), F.lit(REPEATING_RANGE[1])) * _TOP_BINS
-    bad = F.filter("cells", lambda c: (c[0] + 1 <= least) | (c[0] == 0) | (c[1] >= most))
-    spam = F.aggregate(bad, F.lit(0), lambda a, c: a + c[2]) + F.when(F.col("n_links") >= MIN_LINKS, F.col("link_chars")).otherwise(0)
+    beyond = lambda c: F.least(F.greatest(F.lit(REPEATING) * F.col(c), F.lit(REPEATING_RANGE[0])), F.lit(REPEATING_RANGE[1]))
+    bad = F.filter("cells", lambda c: (c[0] + 1 <= least) | (c[0] == 0) | (c[1] >= beyond("top50") * _TOP_BINS) | (c[2] >= beyond("rep50") * _REP_BINS))
+    spam = F.aggregate(bad, F.lit(0), lambda a, c: a + c[3]) + F.when(F.col("n_links") >= MIN_LINKS, F.col("link_chars")).otherwise(0)
     scored = x.select(key, F.col("m.lang").alias("lang"), (spam / F.greatest(F.col("chars"), F.lit(1))).alias("spam_share"))
     return scored.where(F.col("spam_share") > MIN_SHARE).groupBy(key).agg(F.max_by("lang", "spam_share").alias("lang"), F.max("spam_share").alias("spam_share"))
