@@ -136,9 +136,10 @@ def function_words(documents: DataFrame, text: str = "text", lang: str = "lang",
 
 
 def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, fs, top, rep, n_links, link_chars, chars, cells): one row per text of at least MIN_CHARS code points.
+    """(key, lang, learned, fs, top, rep, n_links, link_chars, chars, cells): one row per text of at least MIN_CHARS code points.
 
-    `lang` is the language whose function words the text has most of (the row's own on a draw), `fs`
+    `lang` is the language whose function words the text has most of (the row's own on a draw), `learned`
+    tells that no language without function words of its own is named for the row, `fs`
     their share, `top` the share of its six most repeated other words, `rep` that of the words in its
     repeated n-grams and lines. `cells` counts the characters of stretches by their own three shares, in
     bins; tag lists stand in the highest bin of repetition, links, settings and table lines are kept out of it.
@@ -146,12 +147,14 @@ def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str =
     schema = T.StructType(
         [
             T.StructField("key", documents.schema[key].dataType),
-            *[T.StructField(n, t) for n, t in (("lang", T.StringType()), ("fs", T.DoubleType()), ("top", T.DoubleType()), ("rep", T.DoubleType()))],
+            T.StructField("lang", T.StringType()),
+            T.StructField("learned", T.BooleanType()),
+            *[T.StructField(n, t) for n, t in (("fs", T.DoubleType()), ("top", T.DoubleType()), ("rep", T.DoubleType()))],
             *[T.StructField(n, T.LongType()) for n in ("n_links", "link_chars", "chars")],
             T.StructField("cells", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
-    kinds = [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))]
+    kinds = [pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))]
     order = sorted(words)
 
     def measured(own: str | None, t: str) -> tuple:
@@ -206,7 +209,8 @@ def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str =
             cells[int(_FS_BINS * f / len(w)) if w else 0, int(_TOP_BINS * h / other) if other else 0, int(_REP_BINS * r)] += n
         share = sum(repeated) / max(1, sum(rest.values()))
         rep = sum(len(w) * r for (w, *_), r in zip(stretches, repeats)) / max(1, tokens)
-        return best, found.get(best, 0) / max(1, tokens), share, rep, links, link_chars, total, [[*k, v] for k, v in cells.items()]
+        learned = bool(words) and (own in words or own is None or own == "und")
+        return best, learned, found.get(best, 0) / max(1, tokens), share, rep, links, link_chars, total, [[*k, v] for k, v in cells.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,16 +229,20 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", la
     function words are less than LACKING of the language's median, or if its share of the text's most
     repeated words or of its repeated n-grams exceeds REPEATING times the language's median, or if it is a list of tags. Lines of
     tables, settings and JSON don't count. Null, empty and short texts are no cases; wrong or null
-    languages don't matter, as the language is found from the function words. Rows with the same key
+    languages don't matter, as the language is found from the function words. Where none could be learned
+    for the language a row names (fewer than MIN_DOCUMENTS documents) and the text doesn't have those of
+    another, what it lacks is unknown and the other measures judge. Rows with the same key
     are judged each for itself and reported once.
     """
     words = function_words(documents, text, lang)
     m = written(measures(documents, words, key, text, lang), "spam-measures")
-    medians = m.groupBy("lang").agg(F.percentile_approx("fs", 0.5, 1000).alias("fs50"), F.percentile_approx("top", 0.5, 1000).alias("top50"), F.percentile_approx("rep", 0.5, 1000).alias("rep50"))
-    x = m.alias("m").join(F.broadcast(medians).alias("l") if len(words) < 10_000 else medians.alias("l"), F.col("m.lang").eqNullSafe(F.col("l.lang")))
+    medians = m.where("learned").groupBy("lang").agg(F.percentile_approx("fs", 0.5, 1000).alias("fs50"), F.percentile_approx("top", 0.5, 1000).alias("top50"), F.percentile_approx("rep", 0.5, 1000).alias("rep50"))
+    x = m.alias("m").join(F.broadcast(medians).alias("l") if len(words) < 10_000 else medians.alias("l"), F.col("m.lang").eqNullSafe(F.col("l.lang")), "left")
     least = F.lit(LACKING) * F.col("fs50") * _FS_BINS
     beyond = lambda c: F.least(F.greatest(F.lit(REPEATING) * F.col(c), F.lit(REPEATING_RANGE[0])), F.lit(REPEATING_RANGE[1]))
-    bad = F.filter("cells", lambda c: (c[0] + 1 <= least) | (c[0] == 0) | (c[1] >= beyond("top50") * _TOP_BINS) | (c[2] >= beyond("rep50") * _REP_BINS))
+    # a language without function words of its own: what the text lacks of another's says nothing
+    known = F.col("fs50").isNotNull() & (F.col("learned") | (F.col("fs") >= F.lit(LACKING) * F.col("fs50")))
+    bad = F.filter("cells", lambda c: (known & ((c[0] + 1 <= least) | (c[0] == 0))) | (c[1] >= beyond("top50") * _TOP_BINS) | (c[2] >= beyond("rep50") * _REP_BINS))
     spam = F.aggregate(bad, F.lit(0), lambda a, c: a + c[3]) + F.when(F.col("n_links") >= MIN_LINKS, F.col("link_chars")).otherwise(0)
     scored = x.select(key, F.col("m.lang").alias("lang"), (spam / F.greatest(F.col("chars"), F.lit(1))).alias("spam_share"))
     return scored.where(F.col("spam_share") > MIN_SHARE).groupBy(key).agg(F.max_by("lang", "spam_share").alias("lang"), F.max("spam_share").alias("spam_share"))
