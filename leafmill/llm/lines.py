@@ -1,7 +1,7 @@
 """Lines that one source repeats over its documents, and their removal (problem 1).
 
-The rate at which a source's documents carry a line is compared with the rate outside, by the
-log-likelihood ratio, and the excess is kept under a false-discovery bound; the lines found are
+The rate at which a source's documents carry a line is compared with the rate outside and with that of
+a line in one document, by the log-likelihood ratio, and the excess is kept under a false-discovery bound; the lines found are
 anti-joined away and every page is put together again by position.
 """
 
@@ -57,7 +57,9 @@ def excess_lines(
     Within and outside rates are of documents, so repeated rows count once. A site's lines aren't
     held against another site that repeats them as well: outside are the documents of those sources
     which don't themselves carry the line in `min_documents` and `min_share` of their documents,
-    plus one pseudo-document at the mean rate of a line. Hypotheses are the (source, line) pairs that
+    plus one pseudo-document at the mean rate of a line. Where next to nothing is outside, or the line
+    is as frequent there, the excess over a line that stands in one document of all counts: the greater
+    ratio is kept, so that neither vetoes what the minima say. Hypotheses are the (source, line) pairs that
     meet the two minima; those kept have a ratio beyond the Benjamini-Hochberg threshold for
     `false_discovery`, taken from a histogram of fixed size (rounded to the cautious side).
 
@@ -89,9 +91,10 @@ def excess_lines(
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
     pooled = (k + out_k) / (n + out_n)
     llr = 2 * (_gain(k, n, pooled) + _gain(out_k, out_n, pooled) + _gain(n - k, n, 1 - pooled) + _gain(out_n - out_k, out_n, 1 - pooled))
-    scored = written(
-        x.select("source", "line_hash", F.col("k").alias("n_documents"), F.when(k / n > out_k / out_n, llr).otherwise(0.0).alias("llr")), "scored-lines"
-    )
+    once = F.lit(1.0 / max(1, total))
+    alone = F.when(k / n > once, 2 * (_gain(k, n, once) + _gain(n - k, n, 1 - once))).otherwise(0.0)
+    llr = F.greatest(F.when(k / n > out_k / out_n, llr).otherwise(0.0), alone)
+    scored = written(x.select("source", "line_hash", F.col("k").alias("n_documents"), llr.alias("llr")), "scored-lines")
     bins = scored.groupBy(F.least(F.floor(F.col("llr") * _STEPS), F.lit(_BINS - 1)).alias("bin")).agg(F.count("*").alias("n")).collect()
     return scored.where(F.col("llr") >= _threshold({r["bin"]: r["n"] for r in bins}, false_discovery))
 
