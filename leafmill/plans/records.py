@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.shred import elements, entity_rows, shred
+from leafmill.operators.shred import elements, entity_rows, entity_table, shred
 from leafmill.session import read
 
 KEYS = ["run_id", "stage"]
+#: The root of what a stage itself holds.
+STAGE = "(stage)"
 
 
 def run_nodes(runs: DataFrame, kinds=None) -> DataFrame:
@@ -22,6 +24,18 @@ def run_nodes(runs: DataFrame, kinds=None) -> DataFrame:
     return shred(stages.unionByName(duties), KEYS, "doc", F.col("at"), **extra)
 
 
+def stage_nodes(runs: DataFrame) -> DataFrame:
+    """Adjacency rows of the lists inside each stage besides its evidence; their paths start with `STAGE`, which no evidence's do.
+
+    Plain texts become objects with one `value`, so that each is a row that knows its stage. Null
+    elements keep their position and give no object.
+    """
+    value = lambda c: F.transform(f"body.{c}", lambda x: F.when(x.isNotNull(), F.struct(x.alias("value")))).alias(c)
+    lists = F.struct(F.col("body.mutations").alias("mutations"), *[value(c) for c in ("artifacts", "warnings", "errors")])
+    stages = runs.select("run_id", F.explode("stages").alias("stage", "body")).where(F.col("body").isNotNull())
+    return shred(stages.select("run_id", "stage", F.to_json(lists, {"ignoreNullFields": "false"}).alias("doc")), KEYS, "doc", F.lit(STAGE))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = run_nodes(read(spark, d, "run_results"), ("object",))
     return elements(nodes).select(*KEYS, "path", "parent_path").distinct()
@@ -29,10 +43,33 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entity rows of all record types: link columns, and the scalar children as JSON text."""
-    rows = entity_rows(run_nodes(read(spark, d, "run_results")), KEYS)
+    runs = read(spark, d, "run_results")
+    rows = entity_rows(run_nodes(runs).unionByName(stage_nodes(runs)), KEYS)
     return rows.select(*KEYS, "entity", "path", "parent_path", "ordinal", F.to_json("fields").alias("fields"))
 
 
+def _table(nodes: DataFrame, entity: str, labels: tuple[str, ...]) -> DataFrame:
+    """The pivoted table of one entity, each row once."""
+    return entity_table(nodes, KEYS, entity, labels).distinct()
+
+
+def p3_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """What each stage changed: one row a mutation, under its run and stage."""
+    return _table(stage_nodes(read(spark, d, "run_results")), f"{STAGE}.mutations[]", ("kind", "target", "before", "after"))
+
+
+def p3_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts, warnings and errors of each stage: one row each, `entity` tells which."""
+    nodes = stage_nodes(read(spark, d, "run_results"))
+    tables = [_table(nodes, f"{STAGE}.{x}[]", ("value",)).withColumn("entity", F.lit(x)) for x in ("artifacts", "warnings", "errors")]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def p3_obligations(spark: SparkSession, d: str) -> DataFrame:
+    """Cleanup obligations: one row each."""
+    return _table(run_nodes(read(spark, d, "run_results")), "cleanup_obligations[]", ("kind", "resource_id", "status", "message"))
+
+
 def p3_stages(spark: SparkSession, d: str) -> DataFrame:
     """The first level: one row per run and stage, the latest of the persisted copies."""
     runs = read(spark, d, "run_results")
@@ -44,7 +81,7 @@ def p3_stages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_entities": p3_entities, "p3_stages": p3_stages}
+    return {"p3_found": p3_found, "p3_entities": p3_entities, "p3_mutations": p3_mutations, "p3_messages": p3_messages, "p3_obligations": p3_obligations, "p3_stages": p3_stages}
 
 
 def oracle_sql() -> dict[str, str]:
