@@ -1,7 +1,7 @@
 """Cutting texts beyond a size limit into overlapping pieces at natural boundaries (problem 4).
 
 Balanced targets: the least number of pieces that can hold the text, equal-length targets, each cut
-snapped to the strongest boundary near its target, and one piece more whenever a limit fails.
+snapped to the strongest boundary near its target, else the nearest that the limit allows, and one piece more whenever a limit fails.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ def cut(text: str, limit: int, overlap: int, found: tuple[list[int], list[int]]
     Each piece has at most `limit` code points, and each but the first starts exactly `overlap` before
     the end of the one before it; together they cover the text. An overlap of `limit` or more can't
     leave room for new text and is taken as `limit` - 1; a negative one as 0. Texts within the limit
-    are one piece. Where nothing natural is near a target the cut is hard, but not before a combining
+    are one piece. Where nothing natural is near a target the
+    nearest boundary that the limit allows is taken; without one the cut is hard, but not before a combining
     mark if that can be avoided.
     """
     n = len(text)
@@ -73,6 +74,10 @@ def cut(text: str, limit: int, overlap: int, found: tuple[list[int], list[int]]
                 at, kind = where[j], level[j]
             elif pieces < most and bisect_right(where, target + reach) > bisect_left(where, max(at + 1, target - reach)):
                 break  # the limit keeps the cut from a boundary that one more piece may reach
+            elif (a := bisect_left(where, low)) < (b := bisect_right(where, high)):
+                # none near the target, but the limit leaves room for one farther off
+                j = min(range(a, b), key=lambda k: (abs(where[k] - target), -level[k]))
+                at, kind = where[j], level[j]
             else:
                 at, kind = target, 0
                 while at > low and _MARK.match(text, at):
