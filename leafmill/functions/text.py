@@ -15,6 +15,8 @@ SPACE = r"\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 WORD = r"\p{L}\p{N}_"
 # Ligatures and their letters.
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st"))
+# What full case folding does beyond lower case, to letters of the scripts in use; a capital sigma may come out final.
+FOLDED = (("ß", "ss"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ς", "σ"), ("ſ", "s"), *(x if x[0] != "ﬅ" else ("ﬅ", "st") for x in LIGATURES))
 # Headings of end sections, in the order they are tried.
 END_HEADINGS = ("Notes", "Bibliography", "Index", "References", "Works Cited", "Endnotes")
 # Names of embedding models contain one of these.
@@ -63,9 +65,8 @@ def clean_label(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Case folding: lower case, and what the full folding expands."""
-    t = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    return reduce(lambda x, l: F.replace(x, F.lit(l[0]), F.lit("st" if l[0] == "ﬅ" else l[1])), LIGATURES, t)
+    """Full case folding: lower case, and the letters that folding expands or maps elsewhere."""
+    return reduce(lambda x, l: F.replace(x, F.lit(l[0]), F.lit(l[1])), FOLDED, F.lower(c))
 
 
 def redact(c: Column) -> Column:

@@ -9,7 +9,7 @@ from leafmill.functions import text as X
 from leafmill.session import small, written
 
 # Words that prove no overlap.
-STOPWORDS = "the and for are but not you all can had has was were that this with from have will".split()
+STOPWORDS = ["the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "has", "was", "were", "that", "this", "with", "from", "have", "will"]
 
 
 def phrases_in(text: Column, phrase: Column) -> dict[str, Column]:
@@ -88,7 +88,7 @@ def first_hint(names: DataFrame, hints: DataFrame, name: str = "name") -> DataFr
 
     `hints` is a short ordered list; it is broadcast only if it measures small.
     """
-    h = small(written(hints.select("hint", "ordinal"), "hints"), 64)
+    h = small(written(hints.select("hint", "ordinal"), "hints"))
     n = names.select(name).distinct()
     best = n.join(h, F.contains(F.lower(name), F.col("hint"))).groupBy(name).agg(F.min(F.struct("ordinal", "hint")).alias("b"))
     return n.join(best, name, "left").select(name, F.col("b.hint").alias("hint"), F.col("b.ordinal").alias("ordinal"))

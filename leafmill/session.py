@@ -7,10 +7,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only if its measured size is below this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -56,13 +59,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a session that names none (tests) gets a local one."""
+    """The cluster's checkpoint folder; only a local session that names none (tests) gets a folder of its own.
+
+    On a cluster a machine-local folder would be out of the other machines' sight, so a session without
+    a shared one is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"master {master} needs spark.checkpoint.dir, a folder that all machines share")
     local = tempfile.mkdtemp(prefix="leafmill-")
     atexit.register(shutil.rmtree, local, ignore_errors=True)
     own = f"file://{local}"
@@ -74,10 +84,38 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/leafmill-{spark.sparkContext.applicationId}"
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove what this application's `written` left in the shared folder, once its results are read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def drop_written(spark: SparkSession, since: set[str] | None = None) -> int:
+    """Remove what this application's `written` left in the shared folder, once its results are read; tells how many tables.
+
+    `since` keeps the tables that `written_tables` named before: `mine = written_tables(spark)`, run a
+    query, read its result, `drop_written(spark, mine)`.
+    """
+    found = written_tables(spark) - (since or set())
+    for name in found:
+        fs, p = _files(spark, f"{_own_dir(spark)}/{name}")
+        fs.delete(p, True)
+    return len(found)
+
+
+def written_tables(spark: SparkSession) -> set[str]:
+    """The names of this application's written tables."""
+    fs, p = _files(spark, _own_dir(spark))
+    return {s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else set()
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it a query is run and its result read; what it wrote on the way is removed at the end."""
+    before = written_tables(spark)
+    try:
+        yield
+    finally:
+        drop_written(spark, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -85,7 +123,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike an executor-local cache it survives lost executors; unlike a serialised checkpoint it is
     columnar, compressed and prunes columns when it is read. The tables of one application stand in
-    one folder; `drop_written` removes it.
+    one folder; `tidy` and `drop_written` remove them.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -93,10 +131,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of a *materialised* `df` only if rows x row_bytes is within `limit`.
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of all values of a written table as a hash table holds them: fixed widths by the row count, texts and arrays by summing."""
+    fixed, sums = 48, []  # a row's own share
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sums.append(F.sum(F.octet_length(f.name)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            sums.append(F.sum(F.octet_length(F.to_json(F.struct(f.name)))))
+        fixed += 16
+    row = df.agg(F.count("*"), *sums).first()
+    return row[0] * fixed + sum(x or 0 for x in row[1:])
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast of a *written* `df` only if its values measure no more than `limit` bytes (BROADCAST_BYTES).
 
-    Beyond the bound the frame comes back without a hint, so the join shuffles (AQE splits skewed
-    partitions). `df` must be cheap to count: a written table's count reads Parquet footers only.
+    Beyond it the frame comes back without a hint, so the join shuffles (AQE splits skewed partitions).
+    The measure reads the table's text columns once; numbers cost the footers only.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df

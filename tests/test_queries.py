@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import rows
+from leafmill.session import tidy, written_tables
 
 CORE = [m for m in entry._modules() if m.__name__.startswith("leafmill.plans")]
 QUERIES = {n: q for m in CORE for n, q in m.queries().items()}
@@ -12,7 +13,10 @@ SQL = {n: s for m in CORE for n, s in m.oracle_sql().items()}
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, duck, name):
-    got = QUERIES[name](spark, data).toPandas()
+    before = written_tables(spark)
+    with tidy(spark):
+        got = QUERIES[name](spark, data).toPandas()
+    assert written_tables(spark) == before
     if name in SQL:
         want = duck.sql(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
