@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.session import written
+
 # Characters without ink (the default-ignorable ones and controls that are no white space).
 INVISIBLE = (
     "\\x00-\\x08\\x0e-\\x1b\\x7f-\\x84\\x86-\\x9f\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u200b-\\u200f"
@@ -32,16 +34,22 @@ HYPHENS = "\\u2010\\u2011\\u2043\\u2212\\ufe63\\uff0d"
 # Latin letters and the Cyrillic and Greek letters that look the same, in the same order.
 CYRILLIC = ("aceijopsxyhdqwABCEHIJKMOPSTXYv", "асеіјорѕхуһԁԛԝАВСЕНІЈКМОРЅТХУѵ")
 GREEK = ("opviauyABEHIKMNOPTXYZ", "ορνιαυγΑΒΕΗΙΚΜΝΟΡΤΧΥΖ")
+# The same for Armenian and Cherokee letters, and Latin letters that look like plain ones.
+ARMENIAN = ("ghnoquLOSU", "ցհոօզսԼՕՏՍ")
+CHEROKEE = ("ABCDEGHIJKLMPRSTVWYZ", "ᎪᏴᏟᎠᎬᏀᎻᏆᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᎩᏃ")
+LATIN = ("agI", "ɑɡǀ")
 # The compatibility forms that look like what they decompose to.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-_TO_LATIN = str.maketrans(CYRILLIC[1] + GREEK[1], CYRILLIC[0] + GREEK[0])
-_TO = {"c": str.maketrans(*CYRILLIC), "g": str.maketrans(*GREEK), "l": {}}
+_ALIKE = {"c": CYRILLIC, "g": GREEK, "a": ARMENIAN, "k": CHEROKEE}
+_TO_LATIN = str.maketrans("".join(x[1] for x in (*_ALIKE.values(), LATIN)), "".join(x[0] for x in (*_ALIKE.values(), LATIN)))
+_TO = {k: str.maketrans(*x) for k, x in _ALIKE.items()} | {"l": {}}
+#: Letters that tell nothing about a word's script, by the script they might be of; an Armenian or Cherokee text shows by its other letters.
 _SHARED = frozenset(CYRILLIC[0] + GREEK[0])
 # Look-alikes that Russian has, by their Latin letter, with the marks that stand on them.
 _RUSSIAN = frozenset("aceopxykmhtb\u0308\u0301\u0306")
-_FOREIGN = re.compile(r"[Ͱ-ԯἀ-῿]")
-_SCRIPT_WORD = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ʯ̀-ͯͰ-ԯḀ-῿]+")
+_FOREIGN = re.compile(r"[ɐ-ʯǀͰ-֏Ꭰ-Ᏽἀ-῿]")
+_SCRIPT_WORD = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ʯ̀-ͯͰ-ևᎠ-ᏽḀ-῿]+")
 
 
 @cache
@@ -99,18 +107,20 @@ def _spliced(text: str) -> str:
 
 @cache
 def _script(c: str) -> str:
-    base = unicodedata.normalize("NFD", c)[0].translate(_TO_LATIN)
-    if base in _SHARED or unicodedata.category(base)[0] != "L":
+    own = unicodedata.normalize("NFD", c)[0]
+    base = own.translate(_TO_LATIN)
+    if base in _SHARED or (base != own and own not in LATIN[1]) or unicodedata.category(base)[0] != "L":
         return ""
     at = ord(base)
-    return "c" if 0x400 <= at < 0x530 else "g" if 0x370 <= at < 0x400 or 0x1F00 <= at < 0x2000 else "l"
+    scripts = (("c", 0x400, 0x530), ("g", 0x370, 0x400), ("g", 0x1F00, 0x2000), ("a", 0x531, 0x588), ("k", 0x13A0, 0x13FE))
+    return next((k for k, a, b in scripts if a <= at < b), "l")
 
 
 @lru_cache(1 << 17)
 def _clue(word: str) -> str:
-    """The script that most of a word's unmistakable letters have, Latin before Cyrillic before Greek on ties."""
+    """The script that most of a word's unmistakable letters have; on ties Latin before Cyrillic, Greek, Armenian and Cherokee."""
     seen = [x for x in map(_script, word) if x]
-    return max("lcg", key=seen.count) if seen else ""
+    return max("lcgak", key=seen.count) if seen else ""
 
 
 @lru_cache(1 << 17)
@@ -203,18 +213,31 @@ def look_keys(pages: DataFrame, key: str = "page_id", text: str = "text") -> Dat
     return source.mapInArrow(run, schema).distinct()
 
 
+def look_classes(keys: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, representative, look, texts): rows of `look_keys` whose look several different texts have.
+
+    `representative` is the least key of those with the same text, so equal texts share one, and
+    `texts` the number of different texts of the look. A class of any size is one row a member: a page
+    that stands a million times in two spellings gives a million rows, not their pairs.
+    """
+    texts = keys.groupBy("look", "own").agg(F.min("key").alias("representative"))
+    many = texts.groupBy("look").agg(F.count("*").alias("texts")).where(F.col("texts") > 1)
+    kin = texts.join(many, "look")
+    return keys.join(kin, ["look", "own"]).select(F.col("key").alias(key), F.col("representative"), F.lower(F.hex("look")).alias("look"), "texts")
+
+
 def same_look_pairs(keys: DataFrame, key: str = "page_id") -> DataFrame:
     """(key_a, key_b), the smaller first: rows of `look_keys` that look the same but differ in code points.
 
-    Different texts of one look are paired first and their holders joined to the pairs afterwards, so
-    copies of one text, however many, are never compared with each other.
+    Derived from the classes: the representatives of one look are paired first and the members joined
+    to the pairs afterwards, so copies of one text, however many, are never compared with each other.
+    The result names every pair, as asked for; `look_classes` is the form whose size follows the input.
     """
-    texts = keys.select("look", "own").distinct()
-    many = texts.groupBy("look").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("look")
-    kin = texts.join(many, "look", "left_semi")
-    a, b = kin.alias("a"), kin.alias("b")
-    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.own") < F.col("b.own"))).select(F.col("a.own").alias("own_a"), F.col("b.own").alias("own_b"))
-    left = keys.select(F.col("key").alias("x"), F.col("own").alias("own_a"))
-    right = keys.select(F.col("key").alias("y"), F.col("own").alias("own_b"))
-    out = pairs.join(left, "own_a").join(right, "own_b").where(F.col("x") != F.col("y"))
+    members = written(look_classes(keys, key), "look-classes")
+    heads = members.where(F.col(key) == F.col("representative")).select("look", "representative")
+    a, b = heads.alias("a"), heads.alias("b")
+    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.representative") < F.col("b.representative"))).select(F.col("a.representative").alias("ra"), F.col("b.representative").alias("rb"))
+    left = members.select(F.col(key).alias("x"), F.col("representative").alias("ra"))
+    right = members.select(F.col(key).alias("y"), F.col("representative").alias("rb"))
+    out = pairs.join(left, "ra").join(right, "rb").where(F.col("x") != F.col("y"))
     return out.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()

@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.session import written
+
 WORDS = 12
-#: Test items are shipped to every executor; more text than this must be split into several runs.
+#: Test items are shipped to every executor in sets of about this many bytes; each set is one pass over the corpus.
 MOST_TEST_BYTES = 64 << 20
+#: Bytes of documents that a shard's stretches may hold on to, besides the words of its index.
+SHARD_BYTES = 32 << 20
 #: Words that one FM-index holds at most; a longer document is spread over several with an overlap.
 SHARD_WORDS = 1 << 19
 _SAMPLE = 16
@@ -150,15 +154,16 @@ def leaked_spans(
 
     Words that no test item has are one separating symbol in the index, and stretches between them
     that are shorter than `words` can't hold an occurrence and aren't indexed. Shards follow the
-    input's partitions and hold at most `shard_words` words each, so memory is bounded; a shard ends
-    only after `words` - 1 words of overlap.
+    input's partitions and hold at most `shard_words` words each and SHARD_BYTES of the documents they
+    come from, so memory is bounded; a shard ends only after `words` - 1 words of overlap. Test items of
+    more than MOST_TEST_BYTES are searched in several sets, each collected and shipped by itself.
     """
     spark = documents.sparkSession
     wanted = items.where(F.col(item).isNotNull() & (F.length(item_text) > 0)).select(F.col(item).alias("item"), F.col(item_text).alias("text")).distinct()
     weight = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if weight > MOST_TEST_BYTES:
-        raise ValueError("the test items exceed what may be shipped to every executor; search them in several sets")
-    shipped = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in wanted.collect()])
+    sets = max(1, -(-weight // MOST_TEST_BYTES))
+    if sets > 1:
+        wanted = written(wanted, "test-items")
     schema = T.StructType(
         [
             T.StructField("key", documents.schema[key].dataType),
@@ -168,17 +173,18 @@ def leaked_spans(
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
         tests = _Tests(shipped.value, words)
         if not len(tests.patterns):
             return
         get, find = tests.ids.get, _WORD.findall
         kept: list[tuple] = []  # (key, text, first word) of the stretches in the shard
         parts: list[np.ndarray] = []
-        held = 0
+        held = held_bytes = 0
+        last_doc = None
 
         def flush() -> list[tuple]:
-            nonlocal kept, parts, held
+            nonlocal kept, parts, held, held_bytes, last_doc
             out: list[tuple] = []
             if parts:
                 starts = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
@@ -204,7 +210,7 @@ def leaked_spans(
                             out.append((k, x, b[start][0], b[last + words - 1][1]))
                             start = w
                         last = w
-            kept, parts, held = [], [], 0
+            kept, parts, held, held_bytes, last_doc = [], [], 0, 0, None
             return out
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -229,14 +235,24 @@ def leaked_spans(
                         parts.append(symbols[at:take])
                         kept.append((k, doc, at))
                         held += take - at + 1
+                        if doc is not last_doc:
+                            held_bytes, last_doc = held_bytes + len(doc) * (1 if doc.isascii() else 2), doc
                         at = take if take == end else take - words + 1
-                        if held >= shard_words and (rows := flush()):
+                        if (held >= shard_words or held_bytes >= SHARD_BYTES) and (rows := flush()):
                             yield batch(rows)
         if types and (rows := flush()):
             yield batch(rows)
 
+    def searching(shipped):
+        return lambda batches: run(batches, shipped)
+
     source = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = source.mapInArrow(run, schema)
+    out = None
+    for i in range(sets):
+        mine = wanted if sets == 1 else wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == i)
+        shipped = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in mine.collect()])
+        one = source.mapInArrow(searching(shipped), schema)
+        out = one if out is None else out.unionByName(one)
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "start", "stop")
 
 

@@ -117,7 +117,7 @@ def split_pages(pages: DataFrame, wanted: DataFrame, with_text: bool = True) ->
     else both sides are shuffled by document and AQE splits a document that holds many pages.
     """
     sizes = wanted.groupBy("document_id").agg(F.collect_set(F.struct("limit", "overlap")).alias("sizes"))
-    sizes = small(written(sizes, "piece-sizes"), 256)
+    sizes = small(written(sizes, "piece-sizes"))
     text = pages.where(F.length("text") > 1).select("document_id", "page_id", "text")
     over: Column = F.filter("sizes", lambda s: s["limit"] < F.length("text"))
     todo = text.join(sizes, "document_id").select("document_id", "page_id", "text", over.alias("sizes")).where(F.size("sizes") > 0)
@@ -150,4 +150,4 @@ def request_pieces(pages: DataFrame, requests: DataFrame, policies: DataFrame, w
     asked = written(limits(requests, policies), "piece-requests")
     cuts = split_pages(pages, asked.select("document_id", "limit", "overlap").distinct(), with_text)
     columns = ["request_id", "page_id", "piece", "start", "stop", "boundary"] + ["text"] * with_text
-    return cuts.join(small(asked, 48), ["document_id", "limit", "overlap"]).select(*columns).distinct()
+    return cuts.join(small(asked), ["document_id", "limit", "overlap"]).select(*columns).distinct()

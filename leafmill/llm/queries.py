@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import canonical, leaks, lines, pieces, scans, spam, tokens
@@ -13,6 +13,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(read(spark, d, "pdf_pages"))
 
 
+def p1_tests(spark: SparkSession, d: str) -> DataFrame:
+    """How many (source, line) pairs were tested, and what rejected how many."""
+    return lines.test_counts(read(spark, d, "pdf_pages"))
+
+
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_repeated_lines(read(spark, d, "pdf_pages"))
 
@@ -41,10 +46,28 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
+def p4_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pieces of each request and page: where they begin and end, the longest, and whether each overlaps the one before as asked.
+
+    What the SQL tells from the requests and pages alone must come out of the pieces themselves.
+    """
+    asked = pieces.limits(read(spark, d, "run_requests"), read(spark, d, "segmentation_policy"))
+    x = _pieces(spark, d, True).join(asked.select("request_id", "limit", "overlap").distinct(), "request_id")
+    w = Window.partitionBy("request_id", "page_id").orderBy("piece")
+    x = x.withColumn("before", F.lag("stop").over(w))
+    kept = F.least("overlap", F.col("limit") - 1)
+    good = (F.length("text") == F.col("stop") - F.col("start")) & (F.col("stop") > F.coalesce("before", F.lit(0))) & F.coalesce(F.col("start") == F.col("before") - kept, F.col("start") == 0)
+    return x.groupBy("request_id", "page_id").agg(F.max("stop").alias("chars"), (F.max(F.length("text")) <= F.max("limit")).alias("within"), F.every(good).alias("joined"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(written(canonical.look_keys(read(spark, d, "pdf_pages")), "looks"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.look_classes(written(canonical.look_keys(read(spark, d, "pdf_pages")), "looks"))
+
+
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_text(read(spark, d, "pdf_pages")).distinct()
 
@@ -70,9 +93,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+    plain = [p1_found, p1_clean, p1_tests, p2_found, p2_text, p4_found, p4_pieces, p4_cover, p5_found, p5_classes, p5_text, p6_ids, p7_found, p7_spans, p8_found]
+    return {q.__name__: q for q in plain}
 
 
+_P4 = """FROM run_requests r JOIN segmentation_policy s ON lower(trim(r.segment_mode)) = lower(trim(s.mode)) JOIN pdf_pages p ON p.document_id = r.document_id
+WHERE s.mode <> 'none' AND length(p.text) > r.target_passage_length * (1 + s.target_drift_fraction)"""
+# every twelve words in a row of a document that stand in an item as well
+_P7 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents WHERE length(text) > 0),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM eval_items WHERE length(text) > 0),
+iw AS (SELECT DISTINCT item_id, array_to_string(l[k:k + 11], ' ') AS g FROM (SELECT item_id, l, unnest(range(1, len(l) - 10)) AS k FROM i WHERE len(l) >= 12)),
+dw AS (SELECT doc_id, array_to_string(l[k:k + 11], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 10)) AS k FROM w WHERE len(l) >= 12))
+"""
 _P1 = rf"""
 WITH pages AS (SELECT DISTINCT page_id, document_id, source, text FROM pdf_pages),
 split AS (
@@ -90,10 +122,9 @@ hot AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": """
-SELECT DISTINCT r.request_id, p.page_id
-FROM run_requests r JOIN segmentation_policy s ON lower(trim(r.segment_mode)) = lower(trim(s.mode)) JOIN pdf_pages p ON p.document_id = r.document_id
-WHERE s.mode <> 'none' AND length(p.text) > r.target_passage_length * (1 + s.target_drift_fraction)""",
+        "p4_found": "SELECT DISTINCT r.request_id, p.page_id " + _P4,
+        "p4_cover": "SELECT DISTINCT r.request_id, p.page_id, CAST(length(p.text) AS INTEGER) AS chars, TRUE AS within, TRUE AS joined " + _P4,
+        "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.g = iw.g",
         "p1_found": _P1 + "SELECT page_id, line_no FROM found",
         "p1_clean": _P1
         + """, kept AS (SELECT s.page_id, string_agg(line, chr(10) ORDER BY s.line_no) AS t FROM split s LEFT JOIN found f ON f.page_id = s.page_id AND f.line_no = s.line_no WHERE f.page_id IS NULL GROUP BY s.page_id)

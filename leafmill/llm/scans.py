@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.session import small, written
+from leafmill.session import measured_bytes, small, written
 
 # What recognition confuses, (true, seen), lower case.
 CONFUSIONS = (
@@ -43,7 +43,10 @@ NOTICE_DOCUMENTS, NOTICE_SHARE, ALMOST_ALL = 3, 0.05, 0.5
 #: Letters of a third of a line, and of a short line as a whole, that tell something by themselves.
 MIN_THIRD, MIN_WHOLE = 5, 2
 
+#: Non-blank lines at either end of a page among which its header and number are, and in which a divided word goes on behind them.
 _EDGE, _NEXT = 3, 3
+#: A lexicon of more bytes isn't shipped to the executors.
+MOST_LEXICON_BYTES = 128 << 20
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ]+(?:[-'’][A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ]+)*")
 _OUTSIDE = re.compile(r"^[^\w@|]+|[^\w@|]+$")
 _NO_WORD = re.compile(r"[\d.,:;/%-]+s?$|[A-Za-z]\d+$")
@@ -57,14 +60,23 @@ _ASIAN_STOP = re.compile(r"[。！？、，；：]$")
 _ASIDE = re.compile(r"^\s*(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s+(?=\S)|\s+(?:[0-9lIO|]{1,4}|[ivxlc]{1,9})\s*$")
 
 
+#: Anagram hashes are taken modulo this, so that a word of any length and script has one.
+_MODULUS = (1 << 44) - 17
+
+
 def anagram(word: str) -> int:
-    return sum(ord(c) ** 5 for c in word)
+    return sum(pow(ord(c), 5, _MODULUS) for c in word) % _MODULUS
 
 
 def anagram_column(word: Column) -> Column:
     """Sum of the fifth powers of the code points: equal for anagrams, and a confusion adds a constant."""
-    powers = F.transform(F.split(word, ""), lambda c: F.pow(F.ascii(c), F.lit(5)).cast("long"))
-    return F.aggregate(powers, F.lit(0).cast("long"), lambda a, x: a + x)
+    m = F.lit(_MODULUS)
+
+    def power(c: Column) -> Column:
+        at = F.ascii(c).cast("long")
+        return (((at * at * at) % m * at) % m * at) % m
+
+    return F.aggregate(F.transform(F.split(word, ""), power), F.lit(0).cast("long"), lambda a, x: (a + x) % m)
 
 
 def explain(seen: str, true: str, most: int = DEPTH) -> int:
@@ -241,8 +253,8 @@ def known_words(pages: DataFrame, lexicon: DataFrame, least: int = 2) -> DataFra
     clean = pages.where((F.col("ocr_method").isNull() | (F.col("ocr_method") == "")) & (F.length("text") > 0)).select("text").mapInArrow(run, "word string, n long")
     clean = clean.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word", F.lit(0).alias("listed"), "n")
     listed = lexicon.where(F.length("word") > 0).select(F.lower("word").alias("word"), F.lit(1).alias("listed"), F.coalesce("n_seen", F.lit(1)).cast("long").alias("n"))
-    both = clean.unionByName(listed).groupBy("word").agg(F.max("listed").alias("listed"), F.sum("n").alias("n")).where(F.length("word") <= 40)
-    return both.withColumn("hash", F.when(F.col("word").rlike(r"^[\x{0000}-\x{052f}]+$"), anagram_column(F.col("word"))))
+    both = clean.unionByName(listed).groupBy("word").agg(F.max("listed").alias("listed"), F.sum("n").alias("n"))
+    return both.withColumn("hash", anagram_column(F.col("word")))
 
 
 def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
@@ -252,10 +264,9 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
     is joined with the hashes of the known words; of the pairs that the confusions do explain, fewest
     confusions rank first, then listed words, then frequency, then the alphabet.
     """
-    table = F.array(*[F.struct(F.lit(b).alias("seen"), F.lit(anagram(a) - anagram(b)).alias("delta")) for a, b in CONFUSIONS])
+    table = F.array(*[F.struct(F.lit(b).alias("seen"), F.lit((anagram(a) - anagram(b)) % _MODULUS).alias("delta")) for a, b in CONFUSIONS])
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("from"))
-    can = rare.where((F.length("word") <= 40) & F.col("word").rlike(r"^[\x{0000}-\x{052f}]+$"))
-    can = can.select("word", anagram_column(F.col("word")).alias("hash"), F.filter(table, lambda k: F.contains(F.col("word"), k["seen"])).alias("can")).where(F.size("can") > 0)
+    can = rare.select("word", anagram_column(F.col("word")).alias("hash"), F.filter(table, lambda k: F.contains(F.col("word"), k["seen"])).alias("can")).where(F.size("can") > 0)
     step = lambda sums: F.flatten(
         F.transform(sums, lambda s: F.transform(F.sequence(s["from"], F.size("can") - 1), lambda i: F.struct((s["sum"] + F.get("can", i)["delta"]).alias("sum"), i.alias("from"))))
     )
@@ -263,8 +274,8 @@ def corrections(rare: DataFrame, known: DataFrame) -> DataFrame:
     for n in range(2, DEPTH + 1):
         can = can.withColumn(f"s{n}", step(F.col(f"s{n - 1}")))
     sums = F.array_distinct(F.transform(F.concat(*[F.col(f"s{n}") for n in range(1, DEPTH + 1)]), lambda s: s["sum"]))
-    tries = can.select("word", F.explode(sums).alias("delta"), "hash").select("word", (F.col("hash") + F.col("delta")).alias("hash"))
-    k = small(known.where(F.col("hash").isNotNull()).select(F.col("word").alias("best"), "listed", "n", "hash"), 96)
+    tries = can.select("word", F.explode(sums).alias("delta"), "hash").select("word", ((F.col("hash") + F.col("delta")) % F.lit(_MODULUS)).alias("hash"))
+    k = small(known.where(F.col("hash").isNotNull()).select(F.col("word").alias("best"), "listed", "n", "hash"))
     pairs = tries.join(k, "hash").select("word", "best", "listed", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +312,11 @@ def _notices(facts: DataFrame, edges: DataFrame, places: DataFrame, weight: Call
     whole = F.xxhash64(whole).alias("whole")
     sizes = facts.select("source", "document_id").distinct().groupBy("source").agg(F.count("*").alias("size"))
     shared = edges.select("source", whole, "document_id").distinct().groupBy("source", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= NOTICE_DOCUMENTS)
-    shared = shared.join(small(written(sizes, "scanned-documents"), 24), "source").select("source", "whole", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= NOTICE_SHARE)
-    shared = small(written(shared, "shared-lines"), 32)
+    shared = shared.join(small(written(sizes, "scanned-documents")), "source").select("source", "whole", (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= NOTICE_SHARE)
+    shared = small(written(shared, "shared-lines"))
     x = edges.select("source", whole, F.col("e.segments").alias("segments")).join(shared, ["source", "whole"]).groupBy("source", "whole").agg(F.first("segments").alias("segments"), F.first("share").alias("share"))
     x = x.select("source", "share", F.posexplode("segments").alias("i", "segment")).where(_telling()).select("source", "share", F.explode(_ends("i")).alias("i"), "segment").groupBy("source", F.xxhash64("i", "segment").alias("place")).agg(F.max("share").alias("share"))
-    hit = places.join(small(written(x, "notice-places"), 32), ["source", "place"]).groupBy("page_id", "line")
+    hit = places.join(small(written(x, "notice-places")), ["source", "place"]).groupBy("page_id", "line")
     return hit.agg(weight(F.lit(True)).alias("notice"), weight(F.col("share") >= ALMOST_ALL).alias("broad")).where("notice").select("page_id", "line", "broad")
 
 
@@ -332,7 +343,7 @@ def _headers(facts: DataFrame, files: DataFrame) -> DataFrame:
     titles = files.select("document_id", names).where(F.length("title") > 0).distinct().mapInArrow(run, f"document_id {d}, i int, segment string").where(_telling()).select("document_id", place)
     seen = written(s.groupBy("document_id", "place").agg((F.min("page_id") != F.max("page_id")).alias("again")), "edge-places")
     good = seen.where("again").select("document_id", "place", F.lit(False).alias("own")).unionByName(titles.select("document_id", "place", F.lit(True).alias("own")))
-    good = small(written(good.groupBy("document_id", "place").agg(F.max("own").alias("own")), "header-places"), 40)
+    good = small(written(good.groupBy("document_id", "place").agg(F.max("own").alias("own")), "header-places"))
     weight = lambda of: F.sum(F.when(of, F.col("got")).otherwise(0)) >= 0.5 * F.first("letters")
     matched = s.join(good, ["document_id", "place"]).groupBy("page_id", "line").agg(weight(F.lit(True)).alias("repeats"), weight(F.col("own")).alias("own"))
     notice = written(_notices(facts, e, s, weight), "notice-lines")
@@ -379,14 +390,15 @@ def _needs(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
     is the left part and `put` the rest of the word from the next body line, on the next page if need
     be. `misread`: the word `seen` becomes `put`; a divided word counts where its first wrong letter
     stands. `mark`: isolated strokes go. Pages without text or `ocr_method` give nothing; repeated rows
-    of a page count once. `lexicon` is a fixed small table; the words of clean pages are added to it.
+    of a page count once. The words of clean pages are added to the lexicon.
     `rest` tells a page that its first word is the rest of one on the page before.
     """
     listed = lexicon.where(F.length("word") > 0).select(F.lower("word").alias("word")).distinct()
-    if (n := listed.count()) > 2_000_000:
-        raise ValueError(f"a lexicon of {n} words is too large to ship")
+    # the lexicon only thins out what the pages send: beyond the bound all words go to the anti-join below
+    listed = written(listed, "lexicon-words")
+    shipped = frozenset(r[0] for r in listed.collect()) if measured_bytes(listed) <= MOST_LEXICON_BYTES else frozenset()
     known = written(known_words(pages, lexicon), "known-words")
-    facts = written(page_facts(pages, frozenset(r[0] for r in listed.collect())), "scan-facts")
+    facts = written(page_facts(pages, shipped), "scan-facts")
     headers = written(_headers(facts, files), "scan-headers")
     numbers = written(_numbers(facts, headers), "scan-numbers")
     edge = headers.unionByName(numbers.select("page_id", "line")).groupBy("page_id").agg(F.collect_set("line").alias("drop"))
@@ -409,9 +421,9 @@ def _needs(pages: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
     suspects = suspects.join(used, ["page_id", "line", "first"], "left_anti")
     whole = s.where(F.col("right") != "")
     words = suspects.select("word").unionByName(whole.select(F.col("joined").alias("word"))).unionByName(whole.select(F.col("dashed").alias("word"))).distinct()
-    rare = words.join(small(known.select("word"), 48), "word", "left_anti")
+    rare = words.join(small(known.select("word")), "word", "left_anti")
     fixes = written(corrections(rare, known), "scan-corrections")
-    fix, n_of = small(fixes, 96), small(known.select("word", "n"), 56)
+    fix, n_of = small(fixes), small(known.select("word", "n"))
 
     kj = n_of.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     kd = n_of.select(F.col("word").alias("dashed"), F.col("n").alias("n_dashed"))

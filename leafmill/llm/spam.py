@@ -30,8 +30,8 @@ MIN_LINKS, MIN_TAGS = 5, 5
 #: A line is a list of tags if bare separators are this share of its chunks.
 SEPARATED = 0.15
 TOP_WORDS, TOP_COUNT, WINDOW = 6, 3, 40
-#: Languages with fewer documents have no function words of their own.
-MIN_DOCUMENTS = 20
+#: Languages with fewer documents, or whose most widespread word isn't in this share of them, have no function words of their own.
+MIN_DOCUMENTS, COMMON = 20, 0.5
 #: Words in a row that stand this often in a text are repeated, and so is a line.
 GRAM, GRAM_COUNT = 4, 3
 _FS_BINS, _TOP_BINS, _REP_BINS = 40, 20, 20
@@ -115,31 +115,28 @@ def word_spread(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     return source.mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n_documents"))
 
 
-def function_words(documents: DataFrame, text: str = "text", lang: str = "lang", most: int = 400) -> dict[str, frozenset[str]]:
+def function_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, frozenset[str]]:
     """The function words of each language with at least MIN_DOCUMENTS documents.
 
-    What is collected is bounded: words in at least half of the most widespread word's documents, at
-    most `most` a language (a language has no more function words than that). The code `und` is no
-    language.
+    They stand in SPREAD of the most widespread word's documents, and that word in COMMON of the
+    language's: so there are at most as many as a document has different words, divided by SPREAD x
+    COMMON, and that is all that is collected. The code `und` is no language.
     """
     spread = written(word_spread(documents, text, lang), "word-spread")
     tops = spread.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n_documents"))).alias("docs"), F.max(F.when(F.col("word") != "", F.col("n_documents"))).alias("top"))
-    rows = (
-        spread.where(F.col("word") != "")
-        .join(small(written(tops.where(F.col("docs") >= MIN_DOCUMENTS), "language-tops"), 64), "lang")
-        .where(F.col("n_documents") >= SPREAD * F.col("top"))
-        .groupBy("lang")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("n_documents", "word")), False), 1, most).alias("w"))
-        .collect()
-    )
-    return {r["lang"]: frozenset(x["word"] for x in r["w"]) for r in rows}
+    tops = tops.where((F.col("docs") >= MIN_DOCUMENTS) & (F.col("top") >= COMMON * F.col("docs"))).select("lang", "top")
+    rows = spread.where(F.col("word") != "").join(small(written(tops, "language-tops")), "lang").where(F.col("n_documents") >= SPREAD * F.col("top")).select("lang", "word").collect()
+    words: dict[str, set[str]] = {}
+    for r in rows:
+        words.setdefault(r["lang"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in words.items()}
 
 
 def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, lang, learned, fs, top, rep, n_links, link_chars, chars, cells): one row per text of at least MIN_CHARS code points.
 
     `lang` is the language whose function words the text has most of (the row's own on a draw), `learned`
-    tells that no language without function words of its own is named for the row, `fs`
+    tells that the row names a language with function words of its own, `fs`
     their share, `top` the share of its six most repeated other words, `rep` that of the words in its
     repeated n-grams and lines. `cells` counts the characters of stretches by their own three shares, in
     bins; tag lists stand in the highest bin of repetition, links, settings and table lines are kept out of it.
@@ -209,7 +206,7 @@ def measures(documents: DataFrame, words: dict[str, frozenset[str]], key: str =
             cells[int(_FS_BINS * f / len(w)) if w else 0, int(_TOP_BINS * h / other) if other else 0, int(_REP_BINS * r)] += n
         share = sum(repeated) / max(1, sum(rest.values()))
         rep = sum(len(w) * r for (w, *_), r in zip(stretches, repeats)) / max(1, tokens)
-        learned = bool(words) and (own in words or own is None or own == "und")
+        learned = own in words
         return best, learned, found.get(best, 0) / max(1, tokens), share, rep, links, link_chars, total, [[*k, v] for k, v in cells.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +225,17 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", la
     A stretch of a text counts if it is mostly links (in texts with MIN_LINKS links or more), if its
     function words are less than LACKING of the language's median, or if its share of the text's most
     repeated words or of its repeated n-grams exceeds REPEATING times the language's median, or if it is a list of tags. Lines of
-    tables, settings and JSON don't count. Null, empty and short texts are no cases; wrong or null
-    languages don't matter, as the language is found from the function words. Where none could be learned
-    for the language a row names (fewer than MIN_DOCUMENTS documents) and the text doesn't have those of
-    another, what it lacks is unknown and the other measures judge. Rows with the same key
-    are judged each for itself and reported once.
+    tables, settings and JSON don't count. Null, empty and short texts are no cases; a wrong language
+    doesn't matter where the text has the function words of another. Where a row names no language, or
+    one without function words of its own (fewer than MIN_DOCUMENTS documents), and its text doesn't
+    have those of any language, what it lacks is unknown: the other measures judge alone, so that
+    prose of a rare language is never taken for spam. Rows with the same key are judged each for
+    itself and reported once.
     """
     words = function_words(documents, text, lang)
     m = written(measures(documents, words, key, text, lang), "spam-measures")
     medians = m.where("learned").groupBy("lang").agg(F.percentile_approx("fs", 0.5, 1000).alias("fs50"), F.percentile_approx("top", 0.5, 1000).alias("top50"), F.percentile_approx("rep", 0.5, 1000).alias("rep50"))
-    x = m.alias("m").join(F.broadcast(medians).alias("l") if len(words) < 10_000 else medians.alias("l"), F.col("m.lang").eqNullSafe(F.col("l.lang")), "left")
+    x = m.alias("m").join(small(written(medians, "language-medians")).alias("l"), F.col("m.lang").eqNullSafe(F.col("l.lang")), "left")
     least = F.lit(LACKING) * F.col("fs50") * _FS_BINS
     beyond = lambda c: F.least(F.greatest(F.lit(REPEATING) * F.col(c), F.lit(REPEATING_RANGE[0])), F.lit(REPEATING_RANGE[1]))
     # a language without function words of its own: what the text lacks of another's says nothing

@@ -49,3 +49,17 @@ def test_pairs_in_spark(spark):
     text = {r["page_id"]: r["text"] for r in C.canonical_text(df.where("page_id is not null")).collect()}
     assert text[2] == "one café" and text[5] is None and text[6] == ""
     assert C.same_look_pairs(C.look_keys(df.limit(0))).count() == 0
+
+
+def test_classes_and_other_scripts(spark):
+    from leafmill.llm import canonical as C
+
+    assert C.canonical("hօme ոew") == "home new" and C.canonical("ᎪᎢM") == "ATM" and C.canonical("ɑlɡa") == "alga"
+    armenian = "Հայերեն լեզու օր"
+    assert C.canonical(armenian) == armenian
+    texts = [(1, "café"), (2, "café"), (3, "café"), (4, "tea"), (5, "tea"), (6, None), (7, "cаfé")]
+    keys = C.look_keys(spark.createDataFrame(texts, "page_id long, text string"))
+    got = {r["page_id"]: (r["representative"], r["texts"]) for r in C.look_classes(keys).collect()}
+    assert got == {1: (1, 3), 2: (2, 3), 3: (1, 3), 7: (7, 3)}
+    pairs = {tuple(r) for r in C.same_look_pairs(keys).collect()}
+    assert pairs == {(1, 2), (2, 3), (1, 7), (2, 7), (3, 7)}
