@@ -1,7 +1,8 @@
 """Adjacency-table shredding of nested JSON records into flat, linked tables.
 
 Every JSON value becomes one node row that stores its parent, label, ordinal and scalar; entity
-tables are made by joining object nodes with their scalar children and pivoting the labels.
+tables are made by joining object nodes with their scalar children and pivoting the labels. Nothing
+is lost on the way: a record can be put together again from its nodes, and from its entity rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ NODE = T.StructType(
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("kind", T.StringType()),
         T.StructField("scalar", T.StringType()),
+        T.StructField("field", T.StringType()),
+        T.StructField("root", T.StringType()),
     ]
 )
 _KINDS = ("object", "array", "string", "number", "boolean", "null")
@@ -107,17 +110,21 @@ def _clean(s: str) -> str:
     return s if s.isascii() else s.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
+_ESCAPED = str.maketrans({c: f"\\{c}" for c in ".[\\"})
+
+
 def _nodes(value, root: str) -> Iterator[tuple]:
-    """Depth-first: (path, parent, parent_path, entity, label, ordinal, kind, scalar)."""
-    stack = [(value, root, None, "", root, None, False)]
+    """Depth-first: (path, parent, parent_path, entity, label, ordinal, kind, scalar, field, root)."""
+    stack = [(value, root, None, "", root, None, False, None)]
     while stack:
-        v, path, parent, above, label, ordinal, element = stack.pop()
+        v, path, parent, above, label, ordinal, element, field = stack.pop()
         if isinstance(v, dict):
-            kind, scalar, here = "object", None, path if element else above
-            below = [(w, f"{path}.{k}" if path else k, path, here, k, i, False) for i, (k, w) in enumerate(zip(map(_clean, v), v.values()))]
+            kind, scalar, here = "object", None if v else "{}", path if element else above
+            at = "" if element or field is None else f"{field}."
+            below = [(w, f"{path}.{k}" if path else k, path, here, k, i, False, at + k.translate(_ESCAPED)) for i, (k, w) in enumerate(zip(map(_clean, v), v.values()))]
         elif isinstance(v, list):
-            kind, scalar = "array", None
-            below = [(w, f"{path}[{i}]", path, above, f"[{i}]", i, True) for i, w in enumerate(v)]
+            kind, scalar = "array", None if v else "[]"
+            below = [(w, f"{path}[{i}]", path, above, f"[{i}]", i, True, f"{field or ''}[{i}]") for i, w in enumerate(v)]
         else:
             below = ()
             if v is None:
@@ -128,18 +135,20 @@ def _nodes(value, root: str) -> Iterator[tuple]:
                 kind, scalar = "number", str(v)
             else:
                 kind, scalar = "string", _clean(v)
-        yield path, parent, above, "[]" if element else "", label, ordinal, kind, scalar
+        yield path, parent, above, "[]" if element else "", label, ordinal, kind, scalar, field or "", root
         stack.extend(reversed(below))
 
 
 def shred(df: DataFrame, keys: Sequence[str], text: str, root: Column | None = None, kinds: Sequence[str] = _KINDS) -> DataFrame:
-    """One row per JSON value of column `text`, next to the `keys` of its record.
+    r"""One row per JSON value of column `text`, next to the `keys` of its record.
 
     `path` joins object keys with `.` and array positions as `[i]`; the record's own root has the
-    path `root` (default empty). `parent` is the enclosing node's path (null for the root),
+    path `root` (default empty), which column `root` repeats. `parent` is the enclosing node's path (null for the root),
     `parent_path` that of the nearest enclosing object that is an array element (else empty),
-    `entity` the path of an array-element object without its positions (else empty), `ordinal` the
-    place among its siblings. `kinds` keeps nodes of some kinds only, so unwanted rows never leave
+    `entity` the path of an array element without its positions (else empty), `ordinal` the
+    place among its siblings, `scalar` the value's own text (of an empty container `{}` or `[]`), `field`
+    the way from the nearest enclosing array-element object, keys joined by `.`, in which `.`, `[` and
+    `\` of a key's own are escaped by `\`. `kinds` keeps nodes of some kinds only, so unwanted rows never leave
     the worker.
 
     Null, empty and invalid text (cut off, `NaN`, trailing matter) gives no row. Of repeated keys in
@@ -180,7 +189,7 @@ def shred(df: DataFrame, keys: Sequence[str], text: str, root: Column | None = N
                 yield flush()
 
     out = source.mapInArrow(run, schema)
-    entity = F.when((F.col("kind") == "object") & (F.col("entity") != ""), F.regexp_replace("path", r"\[[0-9]+\]", "[]")).otherwise("")
+    entity = F.when(F.col("entity") != "", F.regexp_replace("path", r"\[[0-9]+\]", "[]")).otherwise("")
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[entity.alias("entity") if f == "entity" else F.col(f) for f in NODE.names])
 
 
@@ -189,32 +198,59 @@ def elements(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("kind") == "object") & (F.col("entity") != ""))
 
 
+def _is_leaf() -> Column:
+    return ~F.col("kind").isin("object", "array") | F.col("scalar").isNotNull()
+
+
+def _text(c: Column) -> Column:
+    """A string as JSON."""
+    j = F.to_json(F.array(c))
+    return F.substr(j, F.lit(2), F.length(j) - 2)
+
+
 def entity_rows(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join each array-element object with its scalar children: one row with a label->scalar map.
+    """(keys, entity, path, parent_path, place, ordinal, kind, fields, kinds): one row per record part that is a thing of its own.
+
+    These are the objects that are array elements, the other elements of arrays (lists of plain values
+    become child tables of `value`), and the root of each record (entity ''). `fields` maps the labels
+    of all scalars between a row and the next rows below it to their text, also those of nested plain
+    objects (`meta.k`), nulls, and empty containers (`{}`, `[]`); `kinds` maps them to their types.
+    `parent_path` names the row above and `place` is the way from there.
 
-    Objects without scalar children keep an empty map. Repeated nodes count once.
+    The object nodes are joined with their scalar children, which are gathered by parent first: of two
+    nodes of one path (keys that hold a `.`) the fields come together. Repeated nodes count once.
     """
-    objects = elements(nodes).select(*keys, "entity", "path", "parent_path", "ordinal").distinct()
-    children = (
-        nodes.where(F.col("kind").isin("string", "number", "boolean") & F.col("parent").isNotNull())
-        .select(*keys, F.col("parent").alias("path"), "label", "scalar")
-        .distinct()
-        .groupBy(*keys, "path")
-        .agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("label", "scalar")))).alias("fields"))
+    own = F.struct(*keys, "path").alias("id")  # one key, in which nulls are equal
+    things = nodes.where((F.col("entity") != "") & ((F.col("kind") == "object") | _is_leaf()) | F.col("parent").isNull() & ((F.col("kind") == "object") | _is_leaf()))
+    pick = F.struct("entity", "parent_path", F.col("field").alias("place"), "ordinal", "kind")
+    things = things.groupBy(own).agg(F.min(pick).alias("t"))
+    inside = _is_leaf() & ((F.col("kind") != "object") | ((F.col("entity") == "") & F.col("parent").isNotNull()))
+    alone = (F.col("entity") != "") | F.col("parent").isNull()
+    children = nodes.where(inside).select(
+        F.struct(*keys, F.when(alone, F.col("path")).otherwise(F.when(F.col("parent_path") != "", F.col("parent_path")).otherwise(F.col("root"))).alias("path")).alias("id"),
+        F.struct(F.when(alone, "value").otherwise(F.col("field")).alias("label"), "kind", "scalar").alias("f"),
     )
-    o, c = objects.alias("o"), children.alias("c")
-    on = [F.col(f"o.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "path"]]
-    empty = F.create_map().cast("map<string,string>")
-    return o.join(c, on, "left").select("o.*", F.coalesce("c.fields", empty).alias("fields"))
+    children = children.groupBy("id").agg(F.array_sort(F.collect_set("f")).alias("f"))
+    # of fields that come together under one label the last counts
+    children = children.withColumn("f", F.filter("f", lambda x, i: (i == F.size("f") - 1) | (F.get("f", i + 1)["label"] != x["label"])))
+    x = things.join(children, "id", "left")
+    pairs = lambda c: F.coalesce(F.map_from_entries(F.transform("f", lambda x: F.struct(x["label"], x[c]))), F.create_map().cast("map<string,string>"))
+    return x.select(*[F.col(f"id.{k}").alias(k) for k in keys], "t.entity", "id.path", "t.parent_path", "t.place", "t.ordinal", "t.kind", pairs("scalar").alias("fields"), pairs("kind").alias("kinds"))
+
+
+def fields_json(fields: str = "fields", kinds: str = "kinds") -> Column:
+    """The fields of an entity row as one JSON object, typed as they were, labels in order."""
+    value = lambda k: F.when(F.col(kinds)[k] == "string", _text(F.col(fields)[k])).otherwise(F.coalesce(F.col(fields)[k], F.lit("null")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(_text(k), F.lit(":"), value(k))), ","), F.lit("}"))
 
 
-def entity_table(nodes: DataFrame, keys: Sequence[str], entity: str, labels: Sequence[str] | None = None, most: int = 2000) -> DataFrame:
+def entity_table(nodes: DataFrame, keys: Sequence[str], entity: str, labels: Sequence[str] | None = None, most: int = 2000, nulls: bool = False) -> DataFrame:
     """Pivot one entity (an `entity` value such as `a.b[].c[]`) into a flat table, a column a label.
 
     `labels` fixes the columns; without it they are discovered, which collects one name per column
-    and refuses more than `most`. A label that clashes with a key or link column gets the prefix `f_`.
+    and refuses more than `most`. Null elements give a row only with `nulls`. A label that clashes with a key or link column gets the prefix `f_`.
     """
-    rows = entity_rows(nodes, keys).where(F.col("entity") == entity)
+    rows = entity_rows(nodes, keys).where((F.col("entity") == entity) & (F.lit(nulls) | (F.col("kind") != "null")))
     if labels is None:
         labels = sorted(r[0] for r in rows.select(F.explode(F.map_keys("fields"))).distinct().limit(most + 1).collect())
         if len(labels) > most:

@@ -12,6 +12,9 @@ def test_lists_of_stages_are_rows(spark, tmp_path):
     spark.createDataFrame([run, run, ("r2", None, None)], SCHEMA).write.parquet(str(tmp_path / "run_results.parquet"))
     d = str(tmp_path)
     got = {(r["stage"], r["path"]): json.loads(r["fields"]) for r in R.p3_entities(spark, d).collect()}
+    assert {k[0] for k in got if k[1] in ("", R.STAGE)} == {"load", "bare"} and got["bare", R.STAGE] == {"artifacts": None, "mutations": None, "warnings": []}
+    assert got["load", "(stage).artifacts[1]"] == {"value": None} == got["load", "(stage).mutations[1]"]
+    got = {k: {x: y for x, y in v.items() if y is not None} for k, v in got.items() if k[1] not in ("", R.STAGE) and v != {"value": None}}
     assert got == {
         ("load", "mutations[0]"): {"kind": "evidence"}, ("load", "(stage).mutations[0]"): {"kind": "write", "target": "t", "after": "new"}, ("load", "(stage).mutations[2]"): {"kind": "drop", "target": "u", "before": "old"},
         ("load", "(stage).artifacts[0]"): {"value": "a.txt"}, ("load", "(stage).warnings[0]"): {"value": "late"}, ("bare", "(stage).errors[0]"): {"value": "bad"},
