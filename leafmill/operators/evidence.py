@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.shred import shred
+
 # What a status says about the outcome; every other one is incomplete.
 STATUS_CLASSES = {
     "pass": ("pass", "complete", "native_metadata_llm_visible"),
@@ -40,6 +42,16 @@ def reconcile(layers: dict[str, DataFrame], key: str) -> DataFrame:
     return flags.withColumn("stage", F.when(broken, "out_of_order").otherwise(reached))
 
 
+def expected_grid(items: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
+    """Every item with every class, the classes being the array in the one row of `classes`: a handful by nature.
+
+    They go along as a literal that each item unfolds, so that nothing is joined.
+    """
+    row = classes.select(column).first()
+    values = sorted(row[0]) if row and row[0] else []
+    return items.select("*", F.explode(F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")).alias(name))
+
+
 def missing(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Expected key combinations that weren't observed."""
     return expected.select(*keys).distinct().join(observed.select(*keys).distinct(), keys, "left_anti")
@@ -93,6 +105,27 @@ def ordered_distinct(df: DataFrame, group: str, value: str, order: str) -> DataF
     return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]).alias("items"))
 
 
+# Keys a public payload mustn't have, besides `*_path` and `workspace*`.
+PRIVATE_KEYS = ("path", "filename", "file_name", "fingerprint", "sha256", "workspace", "api_key", "secret", "text")
+
+
+def payload_violations(payloads: DataFrame, keys: list[str], text: str, private: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, violations): what a JSON payload must not make public, sorted, each once: forbidden keys at any depth, and
+    paths, hashes, API keys and the `private` values in its strings. Payloads without any, or that aren't JSON, give no row.
+    """
+    n = shred(payloads, keys, text)
+    label = F.lower("label")
+    named = ~F.startswith("label", F.lit("[")) & F.col("parent").isNotNull() & (label.isin(*PRIVATE_KEYS) | F.endswith(label, F.lit("_path")) | F.startswith(label, F.lit("workspace")))
+    said = {
+        "absolute path": F.col("scalar").rlike(r'(?:[A-Za-z]:\\|\\\\)[^\r\n"]+'), "sha256-like value": F.col("scalar").rlike(r"(?<![\p{L}\p{N}_])[a-fA-F0-9]{64}(?![\p{L}\p{N}_])"),
+        "API-key-like value": F.col("scalar").rlike(r"(?i)(?<![\p{L}\p{N}_])(?:sk|api)[_-][a-z0-9_-]{8,}(?![\p{L}\p{N}_])"),
+    }
+    if values := [p for p in private if p]:
+        said["private source value"] = reduce(lambda a, b: a | b, [F.contains("scalar", F.lit(p)) for p in values])
+    found = F.array_compact(F.array(F.when(named, F.concat(F.lit("forbidden key: "), "label")), *[F.when((F.col("kind") == "string") & c, F.lit(k)) for k, c in said.items()]))
+    return n.select(*keys, F.explode(found).alias("v")).groupBy(*keys).agg(F.array_sort(F.collect_set("v")).alias("violations"))
+
+
 def privacy_findings(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, findings): what a public payload must not hold, sorted: local paths, hashes, keys, forbidden names."""
     from leafmill.functions.text import SPACE

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.session import written
+
 
 #: Digits that statistics are rounded to.
 DIGITS = 3
@@ -79,3 +81,27 @@ def cohorts(df: DataFrame, conditions: dict[str, Column], value: str, digits: in
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name; columns that a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def merged_trace(rows: DataFrame, run: str, at: str = "at", source: str = "source", seq: str = "seq") -> DataFrame:
+    """Adds `place`: the order of a run's rows by time; of one time those of the interface's timer come first."""
+    w = Window.partitionBy(run).orderBy(at, F.when(F.col(source) == "ui_timer", 0).otherwise(1), seq)
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+def placed(rows: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """Adds the place 1, 2, ... of each row in a total order.
+
+    The rows are sorted by range over all tasks; each partition is numbered by itself and the counts of
+    the partitions before it are added, so no task ever holds all rows.
+    """
+    spark = rows.sparkSession
+    t = written(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = sorted((r["_part"], r["n"]) for r in t.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one number a task
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    w = Window.partitionBy("_part").orderBy(*order)
+    starts = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+    return t.withColumn("_rank", F.row_number().over(w)).join(starts, "_part").withColumn(place, F.col("_before") + F.col("_rank")).drop("_part", "_before", "_rank")

@@ -54,12 +54,38 @@ def queue_totals(timings: DataFrame, group: list[str]) -> DataFrame:
 
 
 def evidence_spans(events: DataFrame, run: str = "run") -> DataFrame:
-    """(run, span, first_at, last_at, seconds): the stretch each kind of evidence covers; they may overlap."""
-    kinds = {"owned_queue": F.col("phase") == "desktop_queue", "confirmed_vectors": F.col("phase") == "identity_set", "validation": F.col("phase").isin("retrieval_sample", "validation")}
+    """(run, span, first_at, last_at, seconds): the stretch each kind of evidence covers; they may overlap.
+
+    Besides the phases, `events` may have `observer` (its state) and `observer_status` (its words). The
+    span of a single event is 0, kinds without one have no row.
+    """
+    none = F.lit(None).cast("string")
+    observer, words = (F.col(c) if c in events.columns else none for c in ("observer", "observer_status"))
+    kinds = {
+        "owned_queue": F.col("phase") == "desktop_queue", "confirmed_vectors": F.col("phase") == "identity_set", "validation": F.col("phase").isin("retrieval_sample", "validation"),
+        "reconnecting": observer == "reconnecting", "quiet": F.contains(F.lower(words), F.lit("quiet")),
+    }
     long = events.select(run, "at", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).alias("span"))
     return long.groupBy(run, "span").agg(F.round(F.min("at"), 3).alias("first_at"), F.round(F.max("at"), 3).alias("last_at"), F.round(F.max("at") - F.min("at"), 3).alias("seconds"))
 
 
+def substantive(reason: Column, phase: Column, completed: Column, total: Column) -> Column:
+    """A real observation of queue or vectors, not a mere change of the estimate."""
+    return (F.btrim(F.coalesce(reason, F.lit(""))) == "") & F.coalesce(phase, F.lit("")).isin("desktop_queue", "identity_set") & completed.isNotNull() & total.isNotNull()
+
+
+def derived_total(timings: DataFrame, prefix: str) -> DataFrame:
+    """(seconds, n_events): positive elapsed times of the stages whose name begins with `prefix`; 0 without any."""
+    t = timings.where(F.startswith("stage", F.lit(prefix)) & (F.col("elapsed") > 0))
+    return t.agg(F.round(F.coalesce(F.sum("elapsed"), F.lit(0.0)), 2).alias("seconds"), F.count("*").alias("n_events"))
+
+
+def trace_uncertain(trace: DataFrame, run: str = "run") -> DataFrame:
+    """(run, uncertain): a trace row's words report an uncertain observer."""
+    words = F.lower(F.concat_ws(" ", F.coalesce("phase", F.lit("")), F.coalesce("details", F.lit(""))))
+    return trace.groupBy(run).agg(F.bool_or(words.rlike("sse observer (?:reconnecting|unavailable|unknown)")).alias("uncertain"))
+
+
 def mean_positive_rate(events: DataFrame, group: list[str]) -> DataFrame:
     return events.groupBy(*group).agg(F.round(F.avg(F.when(F.col("rate") > 0, F.col("rate"))), 3).alias("rate"))
 

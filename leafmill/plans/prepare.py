@@ -92,10 +92,10 @@ def whole_document_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_validation(spark: SparkSession, d: str) -> DataFrame:
-    """The requests' own phrases, and for every document one that its last page holds, in capitals, and an empty one."""
+    """The requests' own phrases, and for every document one that its last page holds, in small letters, and an empty one."""
     p = pages(spark, d)
     asked = read(spark, d, "run_requests").select("request_id", "document_id", F.explode("validation_phrases").alias("phrase"))
-    held = p.where(F.length("text") >= 60).groupBy("document_id").agg(F.max_by(F.upper(F.substring("text", 20, 25)), "page").alias("phrase"))
+    held = p.where(F.length("text") >= 60).groupBy("document_id").agg(F.max_by(F.lower(F.substring("text", 20, 25)), "page").alias("phrase"))
     marked = p.withColumn("text", F.concat(F.lit("[PDF_PAGE "), F.col("page").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit(""))))
     none = read(spark, d, "run_requests").select("request_id", "document_id", F.lit("").alias("phrase"))
     every = asked.unionByName(held.select((-F.col("document_id")).alias("request_id"), "document_id", "phrase")).unionByName(none)
@@ -132,9 +132,9 @@ def page_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cached_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """New documents (odd numbers) and the stored one (even numbers) whose text, language and source are all the same."""
+    """New documents (odd numbers) and the stored one (even numbers) whose text and length are the same."""
     docs = read(spark, d, "documents").where(F.col("text").isNotNull())
-    fields = ["text", "lang", "source"]
+    fields = ["text", "n_chars"]
     return match.cached_reuse(docs.where(F.col("doc_id") % 2 == 1).select("doc_id", *fields), docs.where(F.col("doc_id") % 2 == 0), fields, "doc_id").select("doc_id", "reused")
 
 
@@ -256,8 +256,8 @@ FROM st LEFT JOIN f USING (document_id) LEFT JOIN c USING (page_id) WHERE stop_p
 SELECT request_id, p.document_id, page_id, page FROM r JOIN pages p ON p.document_id = r.document_id WHERE page >= coalesce(first_page_override, 1)""",
         "span_identity": f"{_CLEAN}, {_GREEDY.format(src='clean')} SELECT page_id, CAST(piece AS INTEGER) AS piece, 'seg-' || left(sha256(page_id || '|' || piece || '|' || sha256(segment) || '|boundary-v1'), 24) AS span_id FROM segments",
         "end_sections": f"""{_CLEAN}, last AS (SELECT document_id, greatest(1, floor(max(page) * 0.55)) AS least FROM pages GROUP BY document_id),
-h AS (SELECT unnest({heads!r}) AS heading, unnest(range({len(heads)})) AS rank), pat AS (SELECT heading, rank, '{_sql_heading(["@"])}' AS p FROM h),
-hit AS (SELECT c.document_id, c.page, heading, rank FROM clean c JOIN last l ON l.document_id = c.document_id AND c.page >= l.least JOIN pat ON regexp_matches(clean, replace(p, '@', heading)))
+rk AS (SELECT c.document_id, c.page, CASE {" ".join(f"WHEN regexp_matches(clean, '{_sql_heading([h])}') THEN {i}" for i, h in enumerate(heads))} END AS rank FROM clean c JOIN last l ON l.document_id = c.document_id AND c.page >= l.least),
+hit AS (SELECT document_id, page, rank, {heads!r}[rank + 1] AS heading FROM rk WHERE rank IS NOT NULL)
 SELECT document_id, page, heading FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, rank) AS k FROM hit) WHERE k = 1""",
         "page_transitions": rf"""WITH {_PAGES}, p AS (SELECT document_id, page, {sql_strip("coalesce(text, '')")} AS t FROM pages),
 f AS (SELECT *, regexp_extract(t, '^(?s:.*[.!?][{_S}]+)?((?s:.*))$', 1) AS lf, CASE WHEN regexp_matches(t, '[.!?][{_S}]+') THEN regexp_extract(t, '^((?s:.*?)[.!?])[{_S}]+', 1) ELSE t END AS rf FROM p),
@@ -275,7 +275,7 @@ t AS (SELECT document_id, group_no, min(page) AS first_page, max(page) AS last_p
 SELECT document_id, group_no, first_page, last_page, n_pages, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS chars FROM t""",
         "whole_document_records": f"WITH {_PAGES}, {_DOCS} SELECT document_id, first_page, last_page, n_pages, md5(text) AS text_md5 FROM docs",
         "phrase_validation": f"""WITH {_PAGES}, docs AS (SELECT document_id, string_agg('[PDF_PAGE ' || page || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY page) AS text FROM pages GROUP BY document_id),
-p AS (SELECT DISTINCT request_id, document_id, unnest(validation_phrases) AS phrase FROM run_requests UNION SELECT -document_id, document_id, arg_max(upper(substr(text, 20, 25)), page) FROM pages WHERE length(text) >= 60 GROUP BY document_id
+p AS (SELECT DISTINCT request_id, document_id, unnest(validation_phrases) AS phrase FROM run_requests UNION SELECT -document_id, document_id, arg_max(lower(substr(text, 20, 25)), page) FROM pages WHERE length(text) >= 60 GROUP BY document_id
   UNION SELECT request_id, document_id, '' FROM run_requests),
 x AS (SELECT request_id, p.document_id, phrase, coalesce(text, '') AS t FROM p LEFT JOIN docs d ON d.document_id = p.document_id WHERE phrase IS NOT NULL),
 y AS (SELECT *, CASE WHEN phrase = '' THEN 0 ELSE strpos({_sql_fold('t')}, {_sql_fold('phrase')}) - 1 END AS pos FROM x)
@@ -292,7 +292,7 @@ SELECT document_id, page, md5(string_agg('[' || category || '] ' || s, chr(10) |
         "page_coverage": f"""WITH {_PAGES}, f AS (SELECT document_id, max(page_count) AS n FROM source_files GROUP BY document_id HAVING max(page_count) > 0), w AS (SELECT document_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS page FROM f)
 SELECT w.document_id, w.page FROM w LEFT JOIN pages p ON p.document_id = w.document_id AND p.page = w.page WHERE p.page_id IS NULL""",
         "cached_reuse": """SELECT a.doc_id, coalesce(CAST(min(b.doc_id) AS VARCHAR), '') AS reused FROM documents a
-LEFT JOIN documents b ON b.doc_id % 2 = 0 AND b.text = a.text AND b.lang IS NOT DISTINCT FROM a.lang AND b.source IS NOT DISTINCT FROM a.source WHERE a.doc_id % 2 = 1 AND a.text IS NOT NULL GROUP BY a.doc_id""",
+LEFT JOIN documents b ON b.doc_id % 2 = 0 AND b.text = a.text AND b.n_chars IS NOT DISTINCT FROM a.n_chars WHERE a.doc_id % 2 = 1 AND a.text IS NOT NULL GROUP BY a.doc_id""",
         **{
             f"ceiling_segments_{m}": f"""WITH {_PAGES} SELECT page_id, 1 AS piece, {whole}, {lead if m in ("passages", "custom_page_ranges") else "CAST(0 AS INTEGER)"} AS start, {stop} AS stop, '{"page_end" if m in ("passages", "custom_page_ranges") else ""}' AS kind,
   '{"selected page_end boundary" if m in ("passages", "custom_page_ranges") else "whole_page_within_safety_ceiling"}' AS reason FROM pages WHERE length({sql_strip('text') if m in ("passages", "custom_page_ranges") else 'text'}) > 0"""
