@@ -107,6 +107,10 @@ _WALK = """WITH RECURSIVE docs AS (
   UNION ALL
   SELECT DISTINCT run_id, '' AS stage, 'cleanup_obligations' AS base, CAST(to_json(cleanup_obligations) AS VARCHAR) AS doc
   FROM run_results WHERE len(cleanup_obligations) > 0
+  UNION ALL
+  SELECT DISTINCT run_id, e.key AS stage, '(stage)' AS base, CAST(to_json(struct_pack(mutations := e.value.mutations, artifacts := list_transform(e.value.artifacts, lambda x: CASE WHEN x IS NOT NULL THEN struct_pack(value := x) END),
+    warnings := list_transform(e.value.warnings, lambda x: CASE WHEN x IS NOT NULL THEN struct_pack(value := x) END), errors := list_transform(e.value.errors, lambda x: CASE WHEN x IS NOT NULL THEN struct_pack(value := x) END))) AS VARCHAR) AS doc
+  FROM (SELECT run_id, unnest(map_entries(stages)) AS e FROM run_results) WHERE e.value IS NOT NULL
 ), walk AS (
   SELECT run_id, stage, base AS path, '' AS above, FALSE AS element, CAST(doc AS JSON) AS v, '' AS field, base AS whole, -1 AS ordinal, 0 AS depth FROM docs
   UNION ALL
@@ -121,6 +125,15 @@ _WALK = """WITH RECURSIVE docs AS (
 )"""
 
 
+_ENTITIES = """, n AS (SELECT DISTINCT run_id, stage, path, above, element, field, whole, ordinal, depth, json_type(v) AS t, v, CAST(v AS VARCHAR) IN ('{}', '[]') OR json_type(v) NOT IN ('ARRAY', 'OBJECT') AS leaf FROM walk),
+things AS (SELECT DISTINCT run_id, stage, whole, CASE WHEN element THEN regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') ELSE '' END AS entity, path, above AS parent_path, field AS place, CASE WHEN element THEN ordinal END AS ordinal,
+  CASE t WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM n WHERE (element OR depth = 0) AND (t = 'OBJECT' OR leaf)),
+f AS (SELECT DISTINCT run_id, stage, whole, CASE WHEN element OR depth = 0 THEN path WHEN above <> '' THEN above ELSE whole END AS path, CASE WHEN element OR depth = 0 THEN 'value' ELSE field END AS label,
+  CASE WHEN t = 'VARCHAR' THEN CAST(to_json(v->>'$') AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS literal FROM n WHERE leaf AND (t <> 'OBJECT' OR (NOT element AND depth > 0))),
+j AS (SELECT run_id, stage, whole, path, '{' || string_agg(CAST(to_json(label) AS VARCHAR) || ':' || literal, ',' ORDER BY label) || '}' AS fields FROM f GROUP BY ALL)"""
+_JOINED = " FROM things t LEFT JOIN j ON j.run_id IS NOT DISTINCT FROM t.run_id AND j.stage = t.stage AND j.whole = t.whole AND j.path = t.path"
+
+
 def _sql_table(source: str, columns: tuple[str, ...], path: str, entity: str = "") -> str:
     fields = ", ".join(f'e."{c}" AS "{c}"' for c in columns)
     return f"""SELECT DISTINCT run_id, stage, {path} || '[' || (k - 1) || ']' AS path, '' AS parent_path, CAST(k - 1 AS INTEGER) AS ordinal, {fields}{entity} FROM ({source}) WHERE e IS NOT NULL"""
@@ -133,21 +146,16 @@ def _sql_list(column: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p3_found": _WALK + " SELECT DISTINCT run_id, stage, path, above AS parent_path FROM walk WHERE element AND json_type(v) = 'OBJECT'",
-        "p3_evidence": _WALK + """, n AS (SELECT DISTINCT run_id, stage, path, above, element, field, whole, ordinal, depth, json_type(v) AS t, v, CAST(v AS VARCHAR) IN ('{}', '[]') OR json_type(v) NOT IN ('ARRAY', 'OBJECT') AS leaf FROM walk WHERE stage <> ''),
-things AS (SELECT DISTINCT run_id, stage, CASE WHEN element THEN regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') ELSE '' END AS entity, path, above AS parent_path, CASE WHEN element THEN ordinal END AS ordinal,
-  CASE t WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM n WHERE (element OR depth = 0) AND (t = 'OBJECT' OR leaf)),
-f AS (SELECT DISTINCT run_id, stage, CASE WHEN element OR depth = 0 THEN path WHEN above <> '' THEN above ELSE whole END AS path, CASE WHEN element OR depth = 0 THEN 'value' ELSE field END AS label,
-  CASE WHEN t = 'VARCHAR' THEN CAST(to_json(v->>'$') AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS literal FROM n WHERE leaf AND (t <> 'OBJECT' OR (NOT element AND depth > 0))),
-j AS (SELECT run_id, stage, path, '{' || string_agg(CAST(to_json(label) AS VARCHAR) || ':' || literal, ',' ORDER BY label) || '}' AS fields FROM f GROUP BY run_id, stage, path)
-SELECT t.run_id, t.stage, entity, t.path, parent_path, ordinal, kind, coalesce(fields, '{}') AS fields FROM things t LEFT JOIN j ON j.run_id IS NOT DISTINCT FROM t.run_id AND j.stage = t.stage AND j.path = t.path""",
+        "p3_found": _WALK + " SELECT DISTINCT run_id, stage, path, above AS parent_path FROM walk WHERE element AND json_type(v) = 'OBJECT' AND whole <> '(stage)'",
+        "p3_entities": _WALK + _ENTITIES + " SELECT t.run_id, t.stage, entity, t.path, parent_path, place, ordinal, kind, coalesce(fields, '{}') AS fields" + _JOINED,
+        "p3_evidence": _WALK + _ENTITIES + " SELECT t.run_id, t.stage, entity, t.path, parent_path, ordinal, kind, coalesce(fields, '{}') AS fields" + _JOINED + " WHERE t.whole = ''",
         "p3_mutations": _sql_table(_sql_list("mutations"), ("kind", "target", "before", "after"), "'(stage).mutations'"),
         "p3_messages": " UNION ALL ".join(
             f"SELECT DISTINCT run_id, stage, '(stage).{c}[' || (k - 1) || ']' AS path, '' AS parent_path, CAST(k - 1 AS INTEGER) AS ordinal, e AS value, '{c}' AS entity FROM ({_sql_list(c)}) WHERE e IS NOT NULL" for c in ("artifacts", "warnings", "errors")
         ),
         "p3_obligations": _sql_table("SELECT run_id, '' AS stage, unnest(cleanup_obligations) AS e, generate_subscripts(cleanup_obligations, 1) AS k FROM run_results", ("kind", "resource_id", "status", "message"), "'cleanup_obligations'"),
-        "p3_findings": _WALK + " SELECT DISTINCT run_id, stage, path, above AS parent_path, ordinal, v->>'severity' AS severity, v->>'code' AS code, v->>'message' AS message FROM walk WHERE stage <> '' AND element AND json_type(v) = 'OBJECT' AND regexp_matches(path, '^findings\\[[0-9]+\\]$')",
-        "p3_columns": _WALK + " SELECT DISTINCT run_id, stage, path, above AS parent_path, ordinal, v->>'name' AS name, v->>'type' AS type FROM walk WHERE stage <> '' AND element AND json_type(v) = 'OBJECT' AND regexp_matches(path, '^anomalies\\[[0-9]+\\]\\.tables\\[[0-9]+\\]\\.columns\\[[0-9]+\\]$')",
+        "p3_findings": _WALK + " SELECT DISTINCT run_id, stage, path, above AS parent_path, ordinal, v->>'severity' AS severity, v->>'code' AS code, v->>'message' AS message FROM walk WHERE whole = '' AND stage <> '' AND element AND json_type(v) = 'OBJECT' AND regexp_matches(path, '^findings\\[[0-9]+\\]$')",
+        "p3_columns": _WALK + " SELECT DISTINCT run_id, stage, path, above AS parent_path, ordinal, v->>'name' AS name, v->>'type' AS type FROM walk WHERE whole = '' AND stage <> '' AND element AND json_type(v) = 'OBJECT' AND regexp_matches(path, '^anomalies\\[[0-9]+\\]\\.tables\\[[0-9]+\\]\\.columns\\[[0-9]+\\]$')",
         "p3_stages": """
 WITH s AS (
   SELECT run_id, e.key AS stage, persisted_at, e.value AS b FROM (SELECT run_id, persisted_at, unnest(map_entries(stages)) AS e FROM run_results) WHERE e.value IS NOT NULL
