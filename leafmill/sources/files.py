@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import importlib
-import re
+import multiprocessing
+import sqlite3
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions.text import is_embedding_name
+from leafmill.session import written
+
 PAGE = "document_path string, page int, kind string, text string"
 #: Decoders by name: bytes of a document -> text of its pages.
 DECODERS: dict[str, Callable[[bytes], list[str]]] = {}
@@ -63,6 +68,84 @@ def decode_pages(files: DataFrame, decoder: str, kind: str = "page") -> DataFram
     return files.select("path", "content").mapInPandas(run, PAGE)
 
 
+#: Decoders of single pages by name: bytes of a page -> its text. A caller registers what reads its images.
+PAGE_DECODERS: dict[str, Callable[[bytes], str]] = {"plain": lambda data: data.decode("utf-8")}
+
+
+def within(seconds: float, call: Callable[[bytes], str], data: bytes) -> str:
+    """`call(data)` in a process of its own, which is ended when the time is over; errors come back as they are told there.
+
+    A process can be ended even where native code hangs, which a thread can't.
+    """
+    here, there = multiprocessing.Pipe(duplex=False)
+
+    def work() -> None:
+        try:
+            there.send((True, call(data)))
+        except BaseException as problem:  # noqa: BLE001 - whatever it is, it belongs to this page
+            there.send((False, f"{type(problem).__name__}: {problem}"))
+
+    child = multiprocessing.get_context("fork").Process(target=work, daemon=True)
+    child.start()
+    there.close()
+    try:
+        if not here.poll(seconds):
+            raise TimeoutError(f"timed out after {seconds:g} s")
+        good, value = here.recv()
+    except EOFError:
+        raise RuntimeError("the decoder's process ended without a result") from None
+    finally:
+        child.kill()
+        child.join()
+    if not good:
+        raise RuntimeError(value)
+    return value
+
+
+def decode_single_pages(pages: DataFrame, decoder: str, seconds: float = 240.0, kind: str = "markdown_page") -> DataFrame:
+    """(document_path, page, kind, text, problem): pages that arrive one a row (document_path, page, content), each decoded under a deadline.
+
+    Pages are spread over all tasks, whatever document they belong to. A page that fails or isn't done
+    in `seconds` has a null text and a `problem`.
+    """
+    if decoder not in PAGE_DECODERS:
+        raise ValueError(f"unknown page decoder {decoder!r}")
+    decode = PAGE_DECODERS[decoder]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, page, content in zip(b["document_path"], b["page"], b["content"]):
+                text, problem = None, None
+                try:
+                    text = within(seconds, decode, bytes(content))
+                except (TimeoutError, RuntimeError) as e:
+                    problem = f"page {page}: {e}"
+                rows.append((path, page, kind, text, problem))
+            yield pd.DataFrame(rows, columns=["document_path", "page", "kind", "text", "problem"])
+
+    return pages.select("document_path", F.col("page").cast("int").alias("page"), "content").mapInPandas(run, f"{PAGE}, problem string")
+
+
+def decode_documents(files: DataFrame, pages: DataFrame, decoder: str, fallback: str | None = None, seconds: float = 240.0) -> DataFrame:
+    """(document_path, page, kind, text, mode, reason): whole documents only, by single pages or else as a whole.
+
+    A document of which a page fails, or whose pages aren't exactly 1..n, is decoded anew as a whole by
+    the `fallback` decoder from `files` (path, content): nothing partly observed is kept. Without a
+    fallback it has one row with null page and text. `mode` tells what really ran and `reason` why.
+    """
+    tried = written(decode_single_pages(pages, decoder, seconds), "decoded-pages")
+    failed = tried.groupBy("document_path").agg(F.min("problem").alias("reason")).where(F.col("reason").isNotNull())
+    uncovered = assert_coverage(tried).select("document_path", F.concat(F.lit("pages observed: "), F.col("n_pages").cast("string"), F.lit(", last "), F.col("last_page").cast("string")).alias("uncovered"))
+    bad = written(failed.join(uncovered, "document_path", "full").select("document_path", F.coalesce("reason", "uncovered").alias("reason")), "undecoded-documents")
+    whole = tried.join(bad, "document_path", "left_anti").select("document_path", "page", "kind", "text", F.lit("isolated_parallel_pages").alias("mode"), F.lit("").alias("reason"))
+    if fallback is None:
+        nothing = F.lit(None)
+        return whole.unionByName(bad.select("document_path", nothing.cast("int").alias("page"), nothing.cast("string").alias("kind"), nothing.cast("string").alias("text"), F.lit("failed").alias("mode"), "reason"))
+    again = decode_pages(files.join(bad.select(F.col("document_path").alias("path")), "path", "left_semi"), fallback)
+    return whole.unionByName(again.join(bad, "document_path").select("document_path", "page", "kind", "text", F.lit("sequential_after_parallel_fallback").alias("mode"), "reason"))
+
+
 def assert_coverage(pages: DataFrame, key: str = "document_path") -> DataFrame:
     """Documents whose pages aren't exactly 1..n: (key, n_pages, last_page)."""
     g = pages.groupBy(key).agg(F.count("*").alias("n_pages"), F.max("page").alias("last_page"), F.min("page").alias("first"), F.count_if(F.col("page").isNull()).alias("nulls"))
@@ -191,3 +274,46 @@ def cached_pages(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     good = whole.where((F.col("n") == F.col("k")) & (F.col("n") == F.col("z")) & (F.col("a") == 1)).select("identity")
     w = wanted.select("identity").distinct()
     return cache.join(good, "identity", "left_semi").join(w, "identity", "left_semi"), w.join(good, "identity", "left_anti")
+
+
+def sqlite_settings(spark: SparkSession, path: str, table: str = "system_settings", most: int = 1_000_000) -> DataFrame:
+    """(label, value) of a small local settings database, opened read-only on the driver; a missing table gives no row.
+
+    Settings are a handful; a table of more than `most` rows isn't one and is refused (read it by JDBC).
+    """
+    if not table.isidentifier():
+        raise ValueError(f"{table!r} is no table name")
+    rows: list[tuple] = []
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        if db.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", (table,)).fetchone():
+            rows = db.execute(f"SELECT CAST(label AS TEXT), CAST(value AS TEXT) FROM {table} LIMIT ?", (most + 1,)).fetchall()
+    if len(rows) > most:
+        raise ValueError(f"{table} of {path} is too large for settings")
+    return spark.createDataFrame(rows, "label string, value string")
+
+
+def sqlite_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, column_name) of a local database, for `missing_columns`."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        rows = db.execute("SELECT m.name, c.name FROM sqlite_master m, pragma_table_info(m.name) c WHERE m.type = 'table'").fetchall()
+    return spark.createDataFrame(rows, "table_name string, column_name string")
+
+
+def fetched_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, context_length, provider_context_length, embedding_length) of catalog files fetched before; what can't be read gives no row.
+
+    Each file holds a JSON list of models, or an object with such a list as `data`.
+    """
+    model = "struct<id:string,canonical_slug:string,name:string,context_length:bigint,top_provider:struct<context_length:bigint>,architecture:struct<embedding_length:bigint>>"
+    try:
+        f = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        f = spark.createDataFrame([], "value string")
+    listed = F.when(F.btrim("value").startswith("["), F.from_json("value", f"array<{model}>")).otherwise(F.from_json("value", f"struct<data:array<{model}>>")["data"])
+    m = f.select(F.explode(listed).alias("m")).select(F.coalesce(F.nullif(F.btrim("m.id"), F.lit("")), F.nullif(F.btrim("m.canonical_slug"), F.lit(""))).alias("id"), "m.name", "m.context_length", F.col("m.top_provider.context_length").alias("provider_context_length"), "m.architecture.embedding_length")
+    return m.where(F.col("id").isNotNull())
+
+
+def embedding_models(models: DataFrame, name: str = "name") -> DataFrame:
+    """The models of a list whose names are those of embedding models."""
+    return models.where(is_embedding_name(F.col(name)))

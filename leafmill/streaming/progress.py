@@ -1,10 +1,12 @@
 """Streams of progress events, polls and queue events.
 
-State is kept per run by event time with a watermark, so it doesn't grow with the stream's length.
+State is bounded by a watermark or forgotten some time after a run's last event; only `completed_counts`
+keeps the locations of every run, as exact counts need them.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "run string, seq long, recorded_at timestamp, phase string, type string, location string, value double, status string"
 POLL = "run string, attempts int, verdict string"
+OWNED = "run string, seq long, recorded_at timestamp, type string, location string"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -36,45 +39,98 @@ def unique_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("recorded_at", late).dropDuplicatesWithinWatermark(["run", "seq"])
 
 
-def poll_stream(events: DataFrame, timeout: str = "60 seconds") -> DataFrame:
-    """(run, attempts, verdict): each run's first final status, or `timeout` when none comes in processing time.
+def poll_stream(events: DataFrame, timeout: str = "60 seconds", cap: str = "90 seconds", keep: str = "1 day") -> DataFrame:
+    """(run, attempts, verdict): each run's first final status, or `timeout` if none comes by its deadline.
 
-    A run ends once; what arrives for it afterwards within the same state is passed over. Statuses are
-    classed as in the batch form.
+    The deadline counts from a run's first event, in processing time, and is the lesser of `timeout` and
+    `cap`: observations that stay incomplete don't put it off. A run ends once: its end is remembered
+    for `keep`, so what arrives late gives no second verdict, and is then forgotten. Statuses are
+    classed as in the batch form, in order of time and number within a batch. Time-outs keep batches
+    coming: a query that is to end with its input sets `spark.sql.streaming.noDataMicroBatches.enabled` to false.
     """
     from leafmill.operators.evidence import status_class
 
-    kinds = events.select("run", "recorded_at", status_class(F.col("status"), transient=True).alias("kind"))
-    limit = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    kinds = events.select("run", "recorded_at", "seq", status_class(F.col("status"), transient=True).alias("kind"))
+    limit, memory = (int(min(pd.Timedelta(timeout), pd.Timedelta(cap)).total_seconds() * 1000), int(pd.Timedelta(keep).total_seconds() * 1000))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, done = state.get if state.exists else (0, False)
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        attempts, done, deadline = state.get if state.exists else (0, False, now + limit)
+        if state.hasTimedOut and done:
             state.remove()
-            if not done:
-                yield pd.DataFrame({"run": [key[0]], "attempts": [attempts], "verdict": ["timeout"]})
             return
         verdict = None
-        for f in frames:
-            for kind in f.sort_values("recorded_at")["kind"]:
-                if done:
+        if not done:
+            seen = pd.concat(list(frames)).sort_values(["recorded_at", "seq"])["kind"] if not state.hasTimedOut else []
+            # at least one observation is made, whatever the deadline
+            for kind in seen:
+                if verdict or (attempts and now > deadline):
                     break
                 attempts += 1
-                if kind != "incomplete":
-                    verdict, done = kind, True
-        state.update((attempts, done))
-        state.setTimeoutDuration(limit)
+                verdict = kind if kind != "incomplete" else None
+            if not verdict and now >= deadline:
+                verdict = "timeout"
+            done = verdict is not None
+        state.update((attempts, done, deadline))
+        state.setTimeoutDuration(memory if done else max(1, deadline - now))
         if verdict:
             yield pd.DataFrame({"run": [key[0]], "attempts": [attempts], "verdict": [verdict]})
 
-    return kinds.groupBy("run").applyInPandasWithState(step, POLL, "attempts int, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kinds.groupBy("run").applyInPandasWithState(step, POLL, "attempts int, done boolean, deadline long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
+def owned_stream(events: DataFrame, owned: DataFrame, keep: str = "1 day") -> DataFrame:
+    """(run, seq, recorded_at, type, location): events of owned locations, and a run's `all_complete` once it had one.
 
-def owned_stream(events: DataFrame, owned: DataFrame) -> DataFrame:
-    """Queue events of owned locations: a stream-static semi join, separators made alike."""
+    A stream-static join tells what is owned, separators made alike; whether a run had an owned event is
+    its state, which is forgotten after `keep` without events.
+    """
     alike = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
-    o = owned.select(alike(F.col("location")).alias("_l")).distinct()
-    return events.withColumn("_l", alike(F.col("location"))).join(o, "_l", "left_semi").drop("_l")
+    o = owned.select(alike(F.col("location")).alias("_l")).distinct().withColumn("_own", F.lit(True))
+    e = events.withColumn("_l", alike(F.col("location"))).join(o, "_l", "left").select("run", "seq", "recorded_at", "type", "location", F.coalesce("_own", F.lit(False)).alias("own"))
+    e = e.where(F.col("own") | (F.col("type") == "all_complete"))
+    memory = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (seen,) = state.get if state.exists else (False,)
+        rows = pd.concat(list(frames)).sort_values("seq")
+        had = rows["own"].cummax() | seen
+        state.update((bool(had.iloc[-1]),))
+        state.setTimeoutDuration(memory)
+        out = rows[rows["own"] | ((rows["type"] == "all_complete") & had)]
+        if len(out):
+            yield out[["run", "seq", "recorded_at", "type", "location"]]
+
+    return e.groupBy("run").applyInPandasWithState(step, OWNED, "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def routed_stream(spark: SparkSession, routes: list[str], **options) -> DataFrame:
+    """The event stream of the first of several folders that is there; none is an error, an empty one isn't."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    for r in routes:
+        p = jvm(r)
+        if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+            return event_stream(spark, r, **options)
+    raise FileNotFoundError(", ".join(routes))
+
+
+def emitted(events: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Starts writing a stream to an append-only log of JSON lines, sampled `every` so often, or all there is at once."""
+    w = events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def until_cancelled(query, marker: str, pause: float = 1.0) -> str:
+    """`completed` when a streaming query ends by itself, `cancelled` when it is stopped because the marker file appears."""
+    while True:
+        if os.path.exists(marker):
+            query.stop()
+            return "cancelled"
+        if query.awaitTermination(pause):
+            return "completed"
 
 
 def completed_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
