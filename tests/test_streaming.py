@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -65,6 +66,7 @@ def test_deadline_counts_from_the_first_event(spark, tmp_path, ends):
 def test_all_complete_counts_after_an_owned_event(spark, tmp_path, ends):
     src = tmp_path / "in"
     _write(src, [_event("a", 1, 0, type="all_complete"), _event("a", 2, 0, location="d\\1", type="doc_complete"), _event("b", 1, 0, location="d/9", type="doc_complete"), _event("b", 2, 0, type="all_complete")])
+    os.utime(src / "0.json", (1, 1))  # files are taken by their age
     _write(src, [_event("a", 3, 1, type="all_complete"), _event("a", 4, 1, location="d/9", type="doc_starting")])
     owned = spark.createDataFrame([("d/1",)], "location string")
     stream = P.routed_stream(spark, [str(tmp_path / "absent"), str(src)], files_per_trigger=1)
