@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import text as X
-from leafmill.operators.match import STOPWORDS, first_hint
+from leafmill.operators.match import STOPWORDS, first_hint, matched
 
 # Fixed value: the limit assumed for a model that nothing is known of.
 UNKNOWN_LIMIT = 4096
@@ -215,14 +214,7 @@ def overlap(narrow: str, around: str) -> tuple[int, int]:
     """(matched, fragments): distinct words of a strip that begin, or are begun by, words around it; see `fragment_match`."""
     words = re.compile(r"\b[a-zA-Z][a-zA-Z'-]{2,}\b")
     mine = set(words.findall(narrow.casefold())) - set(STOPWORDS)
-    near = sorted(w for w in set(words.findall(around.casefold())) if len(w) >= 5)
+    near = {w for w in words.findall(around.casefold()) if len(w) >= 5}
     if len(mine) < 8 or not near:
         return 0, len(mine)
-    long, known = [w for w in near if len(w) >= 6], set(near)
-
-    def begins(some: list[str], f: str) -> bool:
-        i = bisect_left(some, f)
-        return i < len(some) and some[i].startswith(f)
-
-    return sum(begins(long, f) if len(f) < 5 else begins(near, f) or any(f[:n] in known for n in range(5, len(f) + 1)) for f in mine), len(mine)
-
+    return matched(mine, near), len(mine)
