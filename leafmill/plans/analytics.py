@@ -7,8 +7,10 @@ a document (`o_custkey`).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.operators import evidence, match, report, timing
 from leafmill.session import read
@@ -25,9 +27,18 @@ def _mapped(table: dict[str, str], c: str):
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c))
 
 
+@F.arrow_udf(returnType=T.StringType())
+def _printed(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else f"{v:.6e}" for v in x.to_pylist()], pa.string())
+
+
 def _exactly(c: str):
-    """A statistic to seven significant digits, so that large ones are compared as closely as small ones."""
-    return F.format_string("%.6e", F.col(c)).alias(c)
+    """A statistic to seven significant digits, so that large ones are compared as closely as small ones.
+
+    Null stays null, and digits are rounded from the exact binary value, halves to even, as C does;
+    `format_string` writes "null" and rounds the shortest decimal half up.
+    """
+    return _printed(F.col(c)).alias(c)
 
 
 def progress_events(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +143,8 @@ def stage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trial_variance(spark: SparkSession, d: str) -> DataFrame:
-    t = _trials(spark, d).withColumn("document", F.concat_ws("-", "document", "priority"))
+    # a trial without document or priority counts to the null document
+    t = _trials(spark, d).withColumn("document", F.concat("document", F.lit("-"), "priority"))
     return report.trial_variance(t, "document", "total", 5).withColumn("variance", _exactly("variance"))
 
 
