@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,8 +49,8 @@ def phrase_validation(phrases: DataFrame, documents: DataFrame, key: str = "docu
     return x.select("request_id", key, "phrase", *[c.alias(n) for n, c in r.items()])
 
 
-def matched(fragments: Iterable[str], near: Iterable[str]) -> int:
-    """How many fragments begin a word, or are begun by one; words of five letters and more, short fragments need six.
+def beginner(near: Iterable[str]) -> Callable[[str], bool]:
+    """Tells whether a fragment begins a word, or is begun by one; words of five letters and more, short fragments need six.
 
     Words are sorted once and looked up by bisection, so a page takes n log n steps, not fragments x words.
     """
@@ -62,7 +62,12 @@ def matched(fragments: Iterable[str], near: Iterable[str]) -> int:
         i = bisect_left(some, f)
         return i < len(some) and some[i].startswith(f)
 
-    return sum(begins(long, f) if len(f) < 5 else begins(words, f) or any(f[:n] in known for n in range(5, len(f) + 1)) for f in fragments)
+    return lambda f: begins(long, f) if len(f) < 5 else begins(words, f) or any(f[:n] in known for n in range(5, len(f) + 1))
+
+
+def matched(fragments: Iterable[str], near: Iterable[str]) -> int:
+    """How many fragments begin a word, or are begun by one; see `beginner`."""
+    return sum(map(beginner(near), fragments))
 
 
 @F.arrow_udf(returnType=T.IntegerType())

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import text as X
-from leafmill.operators.match import STOPWORDS, first_hint, matched
+from leafmill.operators.match import STOPWORDS, beginner, first_hint, matched
 
 # Fixed value: the limit assumed for a model that nothing is known of.
 UNKNOWN_LIMIT = 4096
@@ -22,6 +23,8 @@ SECRET_MARKERS = ("KEY", "SECRET", "TOKEN", "PASSWORD")
 UPLOADED = ("complete", "complete_with_key_cleanup_warning")
 STORED = ("pass", "pass_with_missing_workspace_document_records")
 ANSWERED = ("pass",)
+# Fixed value: a strip of fewer words proves nothing.
+LEAST_WORDS = 8
 
 
 def model_key(c: Column) -> Column:
@@ -181,40 +184,117 @@ def resolve_runovers(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     `candidates` has document_id, page, narrow (the strip's text) and dominant (the page without it). A
     strip goes (`confirmed_excluded`) if its words stand on the pages numbered one less and one more,
     else the page stays (`ambiguous_retained`). Order matters: the page before counts as it is after its
-    own strip went. So only pages with candidates in a row hang together; each such run is judged in
-    order, wherever its document's other pages are. Pages without a candidate have no decision.
+    own strip went. Pages without a candidate have no decision.
     """
-    p = pages.select("document_id", "page", F.coalesce("text", F.lit("")).alias("text"))
-    c = candidates.groupBy("document_id", "page").agg(F.max(F.struct("narrow", "dominant")).alias("c")).select("document_id", "page", "c.*")
-    near = lambda by: p.select("document_id", (F.col("page") - by).alias("page"), F.col("text").alias("before" if by < 0 else "after"))
-    x = c.join(p, ["document_id", "page"]).join(near(-1), ["document_id", "page"], "left").join(near(1), ["document_id", "page"], "left")
-    # gaps and islands over narrow rows
+    c = candidates.groupBy("document_id", "page").agg(F.max(F.struct("narrow", "dominant")).alias("c"))
+    c = c.select("document_id", "page", "c.*", F.lit(True).alias("nominated"))
+    return judge_runovers(pages.select("document_id", "page", "text").join(c, ["document_id", "page"], "left"))
+
+
+def judge_runovers(pages: DataFrame) -> DataFrame:
+    """What `resolve_runovers` tells, of pages that bring their own `narrow`, `dominant` and `nominated`.
+
+    Texts stay where they are: a strip's words go to the pages before and after, which answer with a bit
+    for each. A page that is nominated itself answers for its text with and without its strip. So every
+    strip has its outcome under both decisions of the page before, and decisions are narrow rows carried
+    through the document. `pages` is only the left side of left joins: no filter is pushed into it, so
+    that its shuffle is made once and read again.
+    """
+    on = ["document_id", "page"]
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")
+    x = pages.select(*on, F.coalesce("text", F.lit("")).alias("text"), "narrow", F.coalesce("dominant", F.lit("")).alias("dominant"), F.coalesce("nominated", F.lit(False)).alias("nominated"))
+    q = x.select(*on, _strip_words(F.when(F.col("nominated"), F.coalesce("narrow", F.lit("")))).alias("words"))
+    q = q.withColumn("n", F.when(F.col("words") == "", 0).when(F.col("words").isNotNull(), F.size(F.split("words", " "))))
+    # fewer words than LEAST_WORDS prove nothing and aren't asked about
+    asked, page = F.when(F.col("n") >= LEAST_WORDS, F.col("words")), F.col("page")
+    # with the document inside as well, so that no filter on it gets below
+    to = lambda at, n, prev, after: F.struct("document_id", at.alias("page"), n.alias("n"), prev.alias("prev"), after.alias("next"))
+    no = F.lit(None).cast("int")
+    q = q.select(F.explode(F.array(to(page, F.col("n"), text, text), to(page + 1, no, asked, text), to(page - 1, no, text, asked))).alias("q")).select("q.*")
+    q = q.where(F.col("n").isNotNull() | F.col("prev").isNotNull() | F.col("next").isNotNull())
+    q = q.groupBy(*on).agg(*[F.max(c).alias(c) for c in ("n", "prev", "next")])
+
+    own = F.when(F.col("n").isNotNull() & F.col("next").isNotNull(), F.col("dominant"))
+    x_q = x.join(q, on, "left").select(*on, "n", "prev", "next", F.when(F.col("prev").isNotNull() | F.col("next").isNotNull(), F.col("text")).alias("text"), own.alias("dominant"))
+    bits = T.ArrayType(T.LongType())
+    found = x_q.mapInArrow(_standing, T.StructType([*[x.schema[k] for k in on], T.StructField("n", T.IntegerType()), *[T.StructField(k, bits) for k in ("after", "before", "without")]]))
+    to = lambda at, n, *found: F.struct(at.alias("page"), n.alias("n"), *[c.alias(k) for c, k in zip(found, ("after", "before", "without"))])
+    a = found.select("document_id", F.explode(F.array(to(page, F.col("n"), none, none, none), to(page - 1, no, F.col("after"), none, none), to(page + 1, no, none, F.col("before"), F.col("without")))).alias("a")).select("document_id", "a.*")
+    a = a.where(F.col("n").isNotNull() | F.col("after").isNotNull() | F.col("before").isNotNull()).repartition("document_id")
+    a = a.groupBy(*on).agg(*[F.max(c).alias(c) for c in ("n", "after", "before", "without")]).where(F.col("n").isNotNull())
+
+    # m0, m1: words found if the page before stays, if its strip goes; the same where it isn't nominated
+    m1 = F.when(F.col("without").isNotNull(), _either("after", "without")).otherwise(F.col("m0"))
+    a = a.withColumn("m0", _either("after", "before")).withColumn("m1", m1)
+    sure = lambda m: (F.col(m) >= 8) & (F.when(F.col("n") > 0, F.col(m) / F.col("n")).otherwise(0.0) >= 0.8)
+    a = a.withColumn("s0", sure("m0")).withColumn("s1", sure("m1"))
+    # a page's decision is fixed, or that of the page before, or its contrary: the last fixed one and the parity of contraries since
     w = Window.partitionBy("document_id").orderBy("page")
-    runs = c.select("document_id", "page", (F.col("page") - F.row_number().over(w)).alias("run"))
-    x = x.join(runs, ["document_id", "page"])
-    schema = T.StructType([pages.schema["document_id"], T.StructField("page", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("text", "decision")], T.StructField("matched", T.IntegerType()), T.StructField("fragments", T.IntegerType()), T.StructField("ratio", T.DoubleType())])
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for r in frame.sort_values("page").itertuples():
-            before = last if last is not None else r.before
-            matched, fragments = overlap(r.narrow or "", f"{before or ''}\n{r.after or ''}")
-            ratio = matched / fragments if fragments else 0.0
-            sure = matched >= 8 and ratio >= 0.8
-            last = (r.dominant or "") if sure else r.text
-            out.append((r.document_id, r.page, last, "confirmed_excluded" if sure else "ambiguous_retained", matched, fragments, round(ratio, 3)))
-        return pd.DataFrame(out, columns=schema.names)
-
-    judged = x.groupBy("document_id", "run").applyInPandas(judge, schema)
-    same = p.join(judged.select("document_id", "page"), ["document_id", "page"], "left_anti")
-    return same.select("document_id", F.col("page").cast("int").alias("page"), "text").unionByName(judged, allowMissingColumns=True)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    a = a.withColumn("turns", F.sum((F.col("s0") & ~F.col("s1")).cast("int")).over(so_far))
+    fixed = F.when(F.col("s0") == F.col("s1"), F.col("s0").cast("int") + F.col("turns"))
+    a = a.withColumn("sure", (F.last(fixed, ignorenulls=True).over(so_far) + F.col("turns")) % 2 == 1)
+    gone = F.col("without").isNotNull() & F.coalesce(F.lag("sure").over(w), F.lit(False))
+    d = a.select(*on, "sure", F.when(gone, F.col("m1")).otherwise(F.col("m0")).alias("matched"), F.col("n").alias("fragments"))
+    d = d.withColumn("ratio", _ratio("matched", "fragments"))
+
+    decision = F.when(F.col("sure"), "confirmed_excluded").when(F.col("sure").isNotNull(), "ambiguous_retained")
+    judged = F.when(F.col("sure"), F.col("dominant")).otherwise(F.col("text"))
+    return x.join(d, on, "left").select("document_id", page.cast("int").alias("page"), judged.alias("text"), decision.alias("decision"), "matched", "fragments", "ratio")
+
+
+def _either(one: str, other: str) -> Column:
+    """How many bits stand in either of two arrays of the same length; null has none."""
+    none = F.expr("cast(array() as array<bigint>)")
+    both = F.zip_with(F.coalesce(one, none), F.coalesce(other, none), lambda a, b: F.bit_count(F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0)))))
+    return F.aggregate(both, F.lit(0), lambda s, b: s + b)
+
+
+@F.arrow_udf(returnType=T.StringType())
+def _strip_words(narrow: pa.Array) -> pa.Array:
+    """A strip's distinct words, sorted, with blanks between."""
+    return pa.array([None if t is None else " ".join(sorted(strip_words(t))) for t in narrow.to_pylist()], pa.string())
+
+
+@F.arrow_udf(returnType=T.DoubleType())
+def _ratio(found: pa.Array, of: pa.Array) -> pa.Array:
+    """Rounded as Python does."""
+    return pa.array([round(m / n, 3) if n else 0.0 for m, n in zip(found.to_pylist(), of.to_pylist())], pa.float64())
+
+
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which words of the strips before (`after`) and after (`before`, `without`) stand on a page: 62 bits a number."""
+
+    def bits(words: str, hit: Callable[[str], bool]) -> list[int]:
+        fragments = words.split(" ")
+        out = [0] * -(-len(fragments) // 62)
+        for i, f in enumerate(fragments):
+            if hit(f):
+                out[i // 62] |= 1 << i % 62
+        return out
+
+    kind = pa.list_(pa.int64())
+    for b in batches:
+        after, before, without = [], [], []
+        for prev, following, text, dominant in zip(*[b.column(k).to_pylist() for k in ("prev", "next", "text", "dominant")]):
+            hit = None if text is None else beginner(page_words(text))
+            after.append(None if prev is None else bits(prev, hit))
+            before.append(None if following is None else bits(following, hit))
+            without.append(None if dominant is None else bits(following, beginner(page_words(dominant))))
+        keys = [b.column(k) for k in ("document_id", "page", "n")]
+        yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v, kind) for v in (after, before, without)]], ["document_id", "page", "n", "after", "before", "without"])
+
+
+def strip_words(narrow: str) -> set[str]:
+    return set(re.findall(r"\b[a-zA-Z][a-zA-Z'-]{2,}\b", narrow.casefold())) - set(STOPWORDS)
+
+
+def page_words(text: str) -> set[str]:
+    """The words that prove an overlap: five letters and more."""
+    return set(re.findall(r"\b[a-zA-Z][a-zA-Z'-]{4,}\b", text.casefold()))
 
 
 def overlap(narrow: str, around: str) -> tuple[int, int]:
     """(matched, fragments): distinct words of a strip that begin, or are begun by, words around it; see `fragment_match`."""
-    words = re.compile(r"\b[a-zA-Z][a-zA-Z'-]{2,}\b")
-    mine = set(words.findall(narrow.casefold())) - set(STOPWORDS)
-    near = {w for w in words.findall(around.casefold()) if len(w) >= 5}
-    if len(mine) < 8 or not near:
-        return 0, len(mine)
-    return matched(mine, near), len(mine)
+    mine, near = strip_words(narrow), page_words(around)
+    return (matched(mine, near) if len(mine) >= LEAST_WORDS else 0), len(mine)

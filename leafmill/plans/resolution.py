@@ -128,11 +128,14 @@ def payload_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def runover_pages(spark: SparkSession, d: str) -> DataFrame:
     """Every third page's first half is nominated as a strip that ran over, and so is a copy of its neighbour's text."""
-    p = pages(spark, d)
-    near = p.select("document_id", (F.col("page") - 1).alias("page"), F.substring("text", 1, 400).alias("near"))
-    c = p.where(F.col("page") % 3 > 0).join(near, ["document_id", "page"], "left")
-    c = c.select("document_id", "page", F.when(F.col("document_id") % 2 == 0, F.col("near")).otherwise(F.substring("text", 1, 300)).alias("narrow"), F.substring("text", 300, 100000).alias("dominant"))
-    r = resolve.resolve_runovers(p, c)
+    rows = read(spark, d, "pdf_pages").select("page_id", "document_id", "page", "text")
+    # shuffled as the pages are joined afterwards, so that texts travel once
+    once = lambda df: df.repartition("document_id", "page").dropDuplicates(["document_id", "page", "page_id"]).drop("page_id")
+    even = F.col("document_id") % 2 == 0
+    near = once(rows.where(even).select("page_id", "document_id", (F.col("page") - 1).alias("page"), F.substring("text", 1, 400).alias("near")))
+    narrow = F.when(even, F.col("near")).otherwise(F.substring("text", 1, 300))
+    x = once(rows).join(near, ["document_id", "page"], "left")
+    r = resolve.judge_runovers(x.select("document_id", "page", "text", narrow.alias("narrow"), F.substring("text", 300, 100000).alias("dominant"), (F.col("page") % 3 > 0).alias("nominated")))
     return r.select("document_id", "page", F.md5("text").alias("text_md5"), "decision", "matched", "fragments", "ratio")
 
 
